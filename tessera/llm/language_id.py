@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_DOCS, MAX_LANGS = 20_000, 1_000
+MAX_DOCS, MAX_LANGS = 4_000, 1_000
 MEMO_MOST = 600_000
 LONGEST = 16
 SMOOTH = 0.1

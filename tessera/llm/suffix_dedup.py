@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 LENGTH, GRAM = 100, 32
 SPAN = LENGTH - GRAM + 1  # grams in a window
 PIECE = 1 << 18  # bytes hashed at a time
+TOGETHER = 3 << 20  # bytes of contexts resolved at a time, and more only where one anchor has more
 NULL_ID = -(1 << 63)
 TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 _rng = np.random.default_rng(20240229)
@@ -47,12 +48,15 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _doubled(b: np.ndarray, which: int, upto: int) -> list[np.ndarray]:
-    """Hashes of 1, 2, 4 ... bytes from each position (positions near the end are left out)."""
+def _doubled(b: np.ndarray, which: int, upto: int, keep: tuple[int, ...] = ()) -> list[np.ndarray]:
+    """Hashes of 1, 2, 4 ... bytes from each position (positions near the end are left out);
+    those shorter than `upto` are emptied after use, but for `keep`."""
     hs = [LETTERS[which][b]]
     step = 1
     while step < upto:
         h = hs[-1]
+        if step not in keep:
+            hs[-1] = h[:0]
         if len(h) <= step:
             hs.append(h[:0])
         else:
@@ -184,7 +188,7 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wait.append(batch)
         rows += batch.num_rows
         size += batch.nbytes
-        if size < 24 << 20:
+        if size < TOGETHER:
             continue
         table = pa.Table.from_batches(wait).combine_chunks()
         a = table.column(0).to_numpy()
@@ -222,7 +226,7 @@ def _resolve(table: pa.Table) -> pa.RecordBatch:
     at = (ends - length[lead])[owner] + within
     keys = []
     for which in (0, 1):
-        h = _doubled(data, which, 64)
+        h = _doubled(data, which, 64, (4, 32))
         keys.append(_mix((h[6][at] * FACTORS[which][6] + h[5][at + 64]) * FACTORS[which][7] + h[2][at + 96]))
     where = place[lead][owner] + within
     by = np.argsort(keys[0], kind="stable")
@@ -255,7 +259,7 @@ def merged(starts: np.ndarray, stops: np.ndarray) -> list[tuple[int, int]]:
 
 
 def removed_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, text, copy, spans) for each row: copy says that an earlier document has the whole text."""
+    """(doc_id, text, head, spans) for each row: head is null where an earlier document has the whole text."""
     base = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
     ).withColumn("th", F.hash("text"))
@@ -263,27 +267,27 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     heads = ids.groupBy("sha").agg(F.min("doc_id").alias("head"))
     unique = ids.join(heads, "sha").where("doc_id = head").select("doc_id", "th").distinct()
     # The texts are shuffled once by doc_id; the small sides are hashed, so that texts aren't sorted.
-    on = ["doc_id"]
+    # Every join has the same keys, or the exchange of the texts would not be shared.
+    on = ["doc_id", "th"]
     texts = base.select("doc_id", "th", "text")
     small = lambda df: df.hint("shuffle_hash")
-    own = texts.join(small(unique.select("doc_id", F.col("th").alias("_th"))), on).where("th = _th").select("doc_id", "th", "text")
+    own = texts.join(small(unique), on).select("doc_id", "th", "text")
     places = (
         own.mapInArrow(_anchor_rows, "anchor long, doc_id long, at long")
         .repartition("anchor").sortWithinPartitions("anchor", "doc_id", "at")
         .mapInArrow(_repeated, "doc_id long, at long")
-        .groupBy("doc_id", F.shiftright("at", 32).cast("int").alias("_th"))
+        .groupBy("doc_id", F.shiftright("at", 32).cast("int").alias("th"))
         .agg(F.collect_list(F.col("at").bitwiseAND(F.lit((1 << 32) - 1))).alias("places"))
     )
     spans = (
-        texts.join(small(places), on).where("th = _th").select("doc_id", "th", "text", "places")
+        texts.join(small(places), on).select("doc_id", "th", "text", "places")
         .mapInArrow(_contexts, "anchor long, doc_id long, th int, first long, context binary")
         .repartition("anchor").sortWithinPartitions("anchor")
         .mapInArrow(_spans, "doc_id long, th int, start long, stop long")
         .groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     )
-    marks = unique.select("doc_id", "th", F.lit(True).alias("head")).join(spans, ["doc_id", "th"], "left")
-    found = marks.groupBy("doc_id").agg(F.collect_list(F.struct("th", "spans")).alias("marks"))
-    return texts.join(small(found), on, "left").select("doc_id", "th", "text", "marks")
+    marks = unique.withColumn("head", F.lit(True)).join(spans, on, "left")
+    return texts.join(small(marks), on, "left").select("doc_id", "text", "head", "spans")
 
 
 def removed(docs: DataFrame) -> DataFrame:
@@ -292,13 +296,12 @@ def removed(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs_, n, gone, parts, sha, every, kept = [], [], [], [], [], [], []
-            for doc, th, text, marks in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for doc, text, head, found in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 b = text.encode()
-                mark = next((m for m in marks or () if m["th"] == th), None)
-                if mark is None:  # a copy of an earlier document
+                if not head:  # a copy of an earlier document
                     spans = [(0, len(b))] if len(b) >= LENGTH else []
                 else:
-                    x = mark["spans"] or []
+                    x = found or []
                     spans = merged(np.array([s["start"] for s in x], dtype=np.int64), np.array([s["stop"] for s in x], dtype=np.int64))
                 at, keep = 0, []
                 for s, e in spans:

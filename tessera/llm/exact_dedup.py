@@ -63,7 +63,9 @@ def recipes(docs: DataFrame, least: int = MIN_CHARS, most: int = MAX_CHARS, hash
         distinct.join(clashes, "h", "left_semi")
         .select("h", "chunk", (F.row_number().over(Window.partitionBy("h").orderBy("chunk")) - 1).cast("int").alias("r"))
     )
-    rows = base.select("doc_id", F.sha2(F.col("flat"), 256).alias("text_sha256"), F.monotonically_increasing_id().alias("row"), F.posexplode_outer(chunk_array(F.col("flat"), least, most)).alias("pos", "chunk"))
+    # The row number comes before the chunks do: in one projection the explosion would come first.
+    numbered = base.withColumn("row", F.monotonically_increasing_id())
+    rows = numbered.select("doc_id", F.sha2(F.col("flat"), 256).alias("text_sha256"), "row", F.posexplode_outer(chunk_array(F.col("flat"), least, most)).alias("pos", "chunk"))
     fixed = rows.withColumn("h", hashed(F.col("chunk"))).join(ranks, ["h", "chunk"], "left")
     pair = F.struct("pos", "h", F.coalesce("r", F.lit(0)).cast("long").alias("r"))
     return (

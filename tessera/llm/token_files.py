@@ -45,7 +45,8 @@ MAGIC = b"TOK1"
 DICT_BYTES, DICT_DOCS = 65_536, 1_000
 CONTAINER_BYTES = 4 << 20
 ROWS_PER_RANGE = 8_192
-MEMO_MOST = 800_000
+MEMO_MOST = 600_000
+ROWS = 500
 LEVEL = 3
 NULL_ID = -(1 << 63)
 
@@ -177,8 +178,11 @@ def write(docs: DataFrame, path: str, out: str, end_id: int = 1, level: int = LE
             kept.precompute_compress(level=level)
         zip_ = zstandard.ZstdCompressor(level=level, dict_data=kept, write_checksum=False)
         edges = np.array(bounds, dtype=np.int64)
-        for batch in batches:
-            raw = batch.column(1).to_pylist()
+        enc = encoder(path)
+        end = enc.pack([end_id])
+        # Encoded and compressed in one worker, in short slices.
+        for batch in (b.slice(lo, ROWS) for b in batches for lo in range(0, b.num_rows, ROWS)):
+            raw = [enc.encode(t) + end for t in batch.column(1).to_pylist()]
             part = np.searchsorted(edges, batch.column(0).to_numpy(zero_copy_only=False), side="left").astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(part), batch.column(0), pa.array([len(x) // size for x in raw], pa.int64()), pa.array([zip_.compress(x) for x in raw], pa.binary())],
@@ -210,7 +214,7 @@ def write(docs: DataFrame, path: str, out: str, end_id: int = 1, level: int = LE
             yield row()
 
     (
-        _encoded(docs, path, end_id)
+        docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), "text")
         .mapInArrow(frames, "part int, doc_id long, n long, frame binary")
         .repartition(ranges, "part")
         .sortWithinPartitions("part", "doc_id", "frame")

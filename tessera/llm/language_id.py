@@ -13,6 +13,7 @@ Repeated rows get the same result each; equal likelihoods go to the first langua
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -113,6 +114,9 @@ class Model:
         rest = [learned[k][""] for k in self.langs]
         self.rows = {p: tuple(learned[k].get(p, r) for k, r in zip(self.langs, rest)) for p in vocabulary}
         self.other = tuple(r * 1e-2 for r in rest)  # a letter that is no piece
+        for p in vocabulary:  # beginnings of pieces: None; what is absent begins no piece
+            for j in range(1, min(len(p), LONGEST)):
+                self.rows.setdefault(p[:j], None)
         self.clear()
 
     def clear(self) -> None:
@@ -125,14 +129,16 @@ class Model:
         n, k = len(word), len(self.langs)
         alpha = [None] * (n + 1)
         alpha[0] = [1.0] * k
-        logs, rows = [0.0] * k, self.rows
+        logs, found = [0.0] * k, self.rows.get
         for i in range(n):
             a = alpha[i]
             for j in range(i + 1, min(n, i + LONGEST) + 1):
-                p = rows.get(word[i:j])
-                if p is None:
+                p = found(word[i:j], ())
+                if not p:
                     if j > i + 1:
-                        continue
+                        if p is None:
+                            continue
+                        break
                     p = self.other
                 b = alpha[j]
                 if b is None:
@@ -177,6 +183,17 @@ class Model:
         return self.langs[best], float(1 / np.exp(total - total[best]).sum())
 
 
+_models: dict[str, Model] = {}
+
+
+def model_of(key: str, sent, path: str) -> Model:
+    """One model per Python worker: the last one asked for, with the words it remembers."""
+    if key not in _models:
+        _models.clear()
+        _models[key] = Model(sent.value, pieces(path))
+    return _models[key]
+
+
 def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
@@ -186,9 +203,10 @@ def predicted(docs: DataFrame, path: str, learned: dict[str, dict[str, float]] |
     if learned is None:
         learned = learn(docs.where(~held_out(F.col("doc_id"))), path)
     sent = docs.sparkSession.sparkContext.broadcast(learned)  # a number per language and piece at most
+    key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(sent.value, pieces(path))
+        model = model_of(key, sent, path)
         for batch in batches:
             got = [model.predict(t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([a for a, _ in got], pa.string()), pa.array([b for _, b in got], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])

@@ -114,9 +114,8 @@ class Model:
         rest = [learned[k][""] for k in self.langs]
         self.rows = {p: tuple(learned[k].get(p, r) for k, r in zip(self.langs, rest)) for p in vocabulary}
         self.other = tuple(r * 1e-2 for r in rest)  # a letter that is no piece
-        for p in vocabulary:  # beginnings of pieces: None; what is absent begins no piece
-            for j in range(1, min(len(p), LONGEST)):
-                self.rows.setdefault(p[:j], None)
+        # Pieces, and None for what only begins pieces; what is absent begins none.
+        self.found = {p[:j]: None for p in vocabulary for j in range(1, min(len(p), LONGEST))} | self.rows
         self.clear()
 
     def clear(self) -> None:
@@ -129,7 +128,7 @@ class Model:
         n, k = len(word), len(self.langs)
         alpha = [None] * (n + 1)
         alpha[0] = [1.0] * k
-        logs, found = [0.0] * k, self.rows.get
+        logs, found = [0.0] * k, self.found.get
         for i in range(n):
             a = alpha[i]
             for j in range(i + 1, min(n, i + LONGEST) + 1):

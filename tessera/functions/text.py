@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import unicodedata
 
+import pandas as pd
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Function words of the two document languages, in the order that breaks ties.
 STOPWORDS = {
@@ -92,3 +95,97 @@ def roman_number(text: Column) -> Column:
 def page_at(starts: Column, position: Column) -> Column:
     """The 1-based page of a position: how many pages start at or before it."""
     return F.size(F.filter(starts, lambda s: s <= position))
+
+
+# Letters with a cedilla and the comma-below letters meant; ligatures and their letters.
+CEDILLA = ("şŞţŢ", "șȘțȚ")
+SPACES, UNSEEN = "\u00a0\u202f\u2007\u2009", "\u00ad\u200b\u200c\u200d\ufeff"
+LIGATURES = {"ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "œ": "oe", "Œ": "Oe"}
+
+
+@F.pandas_udf(StringType())
+def _nfc(text: pd.Series) -> pd.Series:
+    return text.str.normalize("NFC")
+
+
+def clean_text(text: Column, from_pdf: bool = False, compose: bool = True) -> Column:
+    """Line ends, Unicode composition, unseen characters, ligatures and blank lines normalised.
+
+    Composition (NFC) is the one step Spark has no function for; it is an Arrow UDF that `compose` leaves out for text
+    known to be composed.
+    """
+    out = F.regexp_replace(text, "\r\n?", "\n")
+    out = _nfc(out) if compose else out
+    out = F.regexp_replace(out, "\u00ad[ \t]*\n[ \t]*", "")
+    out = F.translate(out, CEDILLA[0] + SPACES + UNSEEN, CEDILLA[1] + " " * len(SPACES))
+    for sign, letters in LIGATURES.items():
+        out = F.replace(out, F.lit(sign), F.lit(letters))
+    if from_pdf:
+        out = F.regexp_replace(F.regexp_replace(out, r"(?U)(\w)-\n(\w)", "$1$2"), "[ \t]+", " ")
+    out = F.regexp_replace(F.regexp_replace(out, "[ \t]+\n", "\n"), "\n{3,}", "\n\n")
+    return F.regexp_replace(out, r"(?U)^\s+|\s+$", "")
+
+
+def embedding_text(text: Column, heading_path: Column) -> Column:
+    """The parts of the heading path that are no heading lines of the text, a blank line, the text."""
+    lines = F.filter(F.split(text, "\n"), lambda x: F.regexp_like(x, F.lit(r"^\s*#")))
+    shown = F.transform(lines, lambda x: F.btrim(F.regexp_replace(x, r"^\s*#+", "")))
+    missing = F.filter(F.split(heading_path, " > "), lambda p: ~F.array_contains(shown, p))
+    return F.when((heading_path != "") & (F.size(missing) > 0), F.concat(F.array_join(missing, " > "), F.lit("\n\n"), text)).otherwise(text)
+
+
+def folder_of(source: Column) -> Column:
+    return F.split_part(source, F.lit("/"), F.lit(1))
+
+
+# Words that name a document's divisions, from the widest to the narrowest.
+DIVISIONS = ["partea|titlul|cartea|part|title|book", r"capitolul|cap\.|chapter", "sec[țt]iunea|section|subcapitolul", r"articolul|art\.|article|§", "anexa|annex|appendix"]
+HEADING_MAX = 120
+
+
+def pattern_rank(line: Column) -> Column:
+    """How deep a line's wording puts it (0 is widest), null for ordinary text.
+
+    0-4: a division's word and number; 10-15: numbered titles by their dots; 20: capitals only.
+    """
+    t = F.btrim(line)
+    number = F.regexp_extract(t, r"^([0-9]+(?:\.[0-9]+)*)\.?\s+\p{Lu}", 1)
+    rank = F.when((F.length(t) < 2) | (F.length(t) > HEADING_MAX) | F.right(t, F.lit(1)).isin(*".,;:"), F.lit(None))
+    for i, words in enumerate(DIVISIONS):
+        rank = rank.when(F.regexp_like(t, F.lit(rf"(?iu)^({words})\s*[:.]?\s*([IVXLCDM]+|[0-9]+)\b")), i)
+    rank = rank.when(number != "", 10 + F.least(F.length(number) - F.length(F.replace(number, F.lit("."))), F.lit(5)))
+    return rank.when(F.regexp_like(t, F.lit(r"^(\P{L}*\p{Lu}){3}")) & ~F.regexp_like(t, F.lit(r"[\p{Ll}\p{Lt}\p{Lm}\p{Lo}]")), 20)
+
+
+def pattern_levels(lines: Column) -> Column:
+    """One level or null per line: the ranks in use, made dense, six at most; numbered titles count from two on."""
+    ranks = F.transform(lines, pattern_rank)
+    numbered = lambda r: (r >= 10) & (r < 20)
+    used = F.when(F.size(F.filter(ranks, numbered)) < 2, F.transform(ranks, lambda r: F.when(~numbered(r), r))).otherwise(ranks)
+    order = F.array_sort(F.array_distinct(F.filter(used, lambda r: r.isNotNull())))
+    return F.transform(used, lambda r: F.when(r.isNotNull(), F.least(F.array_position(order, r), F.lit(6))))
+
+
+def mark_headings(text: Column) -> Column:
+    """Lines that read like headings get "#" by level; the document stays one row."""
+    lines = F.split(text, "\n")
+    marked = F.zip_with(lines, pattern_levels(lines), lambda x, n: F.when(n.isNull(), x).otherwise(F.concat(F.repeat(F.lit("#"), n.cast("int")), F.lit(" "), F.btrim(x))))
+    return F.array_join(marked, "\n")
+
+
+def clean_heading(text: Column) -> Column:
+    """Without emphasis, leading numbers and the signs around it."""
+    bare = F.btrim(F.regexp_replace(text, "[*_`]+", ""))
+    return F.btrim(F.regexp_replace(bare, r"^([0-9]+(\.[0-9]+)*|[A-Z]|[IVXLC]+)[.)]\s+", ""), F.lit(" .:-–"))
+
+
+def usable_heading(text: Column) -> Column:
+    """Whether a heading reads as a topic: a few words, a capital first, no digits or abbreviations."""
+    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    like = lambda p: F.regexp_like(text, F.lit(p))
+    return (
+        F.size(words).between(3, 10) & F.length(text).between(15, 80)
+        & (F.size(F.filter(words, lambda w: F.length(F.regexp_replace(w, r"\P{L}", "")) >= 4)) >= 2)
+        & like(r"^\p{Lu}") & like(r"\p{Ll}") & ~like("[0-9]") & ~like(r"\b\w{1,5}\.\s") & ~like("[?;,]$")
+        & ~like(r"(?i)^(art|articolul|article|capitolul|chapter|anexa|annex)\b")
+    )

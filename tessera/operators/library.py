@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import clean_heading, usable_heading
+
 
 def folders(docs: DataFrame, chunks: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """(folder, documents, chunks), folders without documents included."""
@@ -29,3 +31,34 @@ def sync_problems(a: DataFrame, b: DataFrame, key: str, names: tuple[str, str])
     only = lambda x, y, n: x.join(y, key, "left_anti").agg(F.lit(f"only in {n}").alias("problem"), F.count("*").alias("n"))
     twice = a.groupBy(key).agg(F.count("*").alias("c")).where("c > 1").agg(F.lit(f"twice in {names[0]}").alias("problem"), F.count("*").alias("n"))
     return only(a, b, names[0]).unionByName(only(b, a, names[1])).unionByName(twice)
+
+
+def topics(headings: DataFrame, limit: int = 4) -> DataFrame:
+    """(heading, doc_id, pos) of rows (doc_id, heading_path): readable headings of one document only, one per document first.
+
+    Counts come before any window, so a heading that all documents share is one row by then.
+    """
+    last = clean_heading(F.element_at(F.split("heading_path", " > "), -1))
+    one = headings.select("doc_id", last.alias("heading")).where(usable_heading(F.col("heading"))).groupBy("doc_id", "heading").agg(F.lit(1).alias("one"))
+    alone = one.groupBy(F.lower("heading").alias("low")).agg(F.countDistinct("doc_id").alias("docs"), F.min("doc_id").alias("doc_id"), F.min("heading").alias("heading")).where("docs = 1")
+    turn = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.md5("heading"), "heading"))
+    ranked = alone.select("heading", "doc_id", turn.alias("turn")).orderBy("turn", F.md5("heading"), "doc_id").limit(limit)
+    return ranked.select("heading", "doc_id", F.row_number().over(Window.orderBy("turn", F.md5("heading"), "doc_id")).cast("long").alias("pos"))
+
+
+# Folder names allowed, device names refused, the largest file.
+FOLDER = r"^[\p{L}\p{N}_][\p{L}\p{N}_ .-]{0,63}$"
+RESERVED = r"(?i)^(con|prn|aux|nul|com[0-9]|lpt[0-9])(\..*)?$"
+MOST_BYTES = 50 * 1024 * 1024
+
+
+def folder_name_ok(name: F.Column) -> F.Column:
+    return F.regexp_like(name, F.lit(FOLDER)) & ~F.regexp_like(name, F.lit(RESERVED))
+
+
+def repeated_lines(lines: DataFrame, share: float = 0.6) -> DataFrame:
+    """(source, key, pages) of the lines (source, page, key) on at least `share` of a document's pages, two at the least, of three pages or more."""
+    pages = lines.select("source", "page").distinct().groupBy("source").agg(F.count("*").alias("all"))
+    found = lines.select("source", "page", "key").distinct().groupBy("source", "key").agg(F.count("*").alias("pages"))
+    enough = F.greatest(F.lit(2), F.bround(share * F.col("all"), 0))
+    return found.join(pages, "source").where((F.col("all") >= 3) & (F.col("pages") >= enough)).select("source", "key", "pages")

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import byte_letters
-from .common import shared_dir
+from .common import arrow_batches, shared_dir
 
 MAGIC = b"TOK1"
 DICT_BYTES, DICT_DOCS = 65_536, 1_000
@@ -47,6 +47,7 @@ CONTAINER_BYTES = 4 << 20
 ROWS_PER_RANGE = 8_192
 MEMO_MOST = 600_000
 ROWS = 500
+BATCH_BYTES = 4 << 20
 LEVEL = 3
 NULL_ID = -(1 << 63)
 
@@ -286,5 +287,6 @@ def write_and_read(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:
     """Writes the files into the shared folder and reads them back."""
     spark = docs.sparkSession
     out = f"{shared_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
-    write(docs, path, out, end_id)
+    with arrow_batches(spark, BATCH_BYTES):
+        write(docs, path, out, end_id)
     return read(spark, out)

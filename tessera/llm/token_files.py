@@ -217,7 +217,7 @@ def write(docs: DataFrame, path: str, out: str, end_id: int = 1, level: int = LE
     (
         docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), "text")
         .mapInArrow(frames, "part int, doc_id long, n long, frame binary")
-        .repartition(ranges, "part")
+        .repartitionById(ranges, "part")
         .sortWithinPartitions("part", "doc_id", "frame")
         .mapInArrow(containers, "part int, seq int, n_docs long, n_ids long, blob binary")
         .write.parquet(f"{out}/containers")

@@ -15,7 +15,7 @@ from __future__ import annotations
 import math
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +25,9 @@ from pyspark.sql import functions as F
 MAX_DOCS, MAX_LANGS = 4_000, 1_000
 MEMO_MOST = 600_000
 LONGEST = 16
+SHORT = 24  # words up to here need no rescaling and go forward together
+CELLS = 1 << 20
+TOGETHER = 1 << 20  # characters of texts whose new words are scored together
 SMOOTH = 0.1
 EDGE = "▁"  # fixed value: the vocabulary's mark of a word's start
 
@@ -116,6 +119,22 @@ class Model:
         self.other = tuple(r * 1e-2 for r in rest)  # a letter that is no piece
         # Pieces, and None for what only begins pieces; what is absent begins none.
         self.found = {p[:j]: None for p in vocabulary for j in range(1, min(len(p), LONGEST))} | self.rows
+        # The same pieces as arrays: letters numbered from 1, a sorted key for each step from a beginning to a longer one.
+        short = [p for p in vocabulary if 0 < len(p) <= LONGEST]
+        letters = sorted(set("".join(short)))
+        number = {c: i + 1 for i, c in enumerate(letters)}
+        self.code = np.zeros(0x110000, dtype=np.int32)
+        self.code[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        node = {b: i for i, b in enumerate(sorted({p[:j] for p in short for j in range(1, len(p) + 1)}))}
+        row = {p: i for i, p in enumerate(short)}
+        self.prob = np.array([self.rows[p] for p in short]).reshape(len(short), len(self.langs))
+        self.first = np.array([-1] + [node.get(c, -1) for c in letters], dtype=np.int64)
+        self.single = np.array([self.other] + [self.rows.get(c, self.other) for c in letters]).reshape(len(letters) + 1, len(self.langs))
+        self.radix = len(letters) + 1
+        steps = sorted((node[b[:-1]] * self.radix + number[b[-1]], node[b], row.get(b, -1)) for b in node if len(b) > 1)
+        self.keys = np.array([k for k, _, _ in steps] + [np.iinfo(np.int64).max], dtype=np.int64)
+        self.child = np.array([c for _, c, _ in steps] + [-1], dtype=np.int64)
+        self.piece = np.array([r for _, _, r in steps] + [-1], dtype=np.int64)
         self.clear()
 
     def clear(self) -> None:
@@ -155,31 +174,91 @@ class Model:
                                 x[q] /= top
         return [x + math.log(y) if y > 0 else -1e9 for x, y in zip(logs, alpha[n])]
 
-    def _add(self, raw: str) -> int:
-        c = core(raw)
-        if c not in self.at:
-            if self.size == len(self.table):
+    def words(self, words: list[str]) -> np.ndarray:
+        """`word` for each of many: those of one length go forward together."""
+        k = len(self.langs)
+        out, by_length = np.empty((len(words), k)), {}
+        for at, w in enumerate(words):
+            by_length.setdefault(len(w), []).append(at)
+        for n, where in by_length.items():
+            if not 0 < n <= SHORT:
+                for at in where:
+                    out[at] = self.word(words[at])
+                continue
+            most = max(1, CELLS // ((n + 1) * max(1, k)))
+            for part in (where[x : x + most] for x in range(0, len(where), most)):
+                out[part] = self._forward([words[at] for at in part], n)
+        return out
+
+    def _forward(self, words: list[str], n: int) -> np.ndarray:
+        codes = self.code[np.frombuffer("".join(words).encode("utf-32-le"), "<u4")].reshape(-1, n)
+        alpha = np.zeros((n + 1, len(words), len(self.langs)))
+        alpha[0] = 1.0
+        for i in range(n):
+            a = alpha[i]
+            alpha[i + 1] += a * self.single[codes[:, i]]
+            node = self.first[codes[:, i]]
+            alive = np.flatnonzero(node >= 0)
+            node = node[alive]
+            for j in range(i + 1, min(n, i + LONGEST)):
+                key = node * self.radix + codes[alive, j]
+                at = np.searchsorted(self.keys, key)
+                same = self.keys[at] == key
+                alive, at = alive[same], at[same]
+                if not len(alive):
+                    break
+                node, piece = self.child[at], self.piece[at]
+                whole = piece >= 0
+                r = alive[whole]
+                alpha[j + 1][r] += a[r] * self.prob[piece[whole]]
+        return np.where(alpha[n] > 0, np.log(np.maximum(alpha[n], 1e-320)), -1e9)
+
+    def _remember(self, raws: set[str]) -> None:
+        cores = {raw: core(raw) for raw in raws}
+        new = sorted({c for c in cores.values() if c not in self.at})
+        if new:
+            while self.size + len(new) > len(self.table):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            self.table[self.size] = self.word(c)
-            self.at[c] = self.size
-            self.size += 1
-        i = self.at[c]
-        if len(raw) <= 64:
-            self.at[raw] = i
-        return i
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        if text is None or not self.langs:
-            return "und", 0.0
-        if len(self.at) > MEMO_MOST:
+            self.table[self.size : self.size + len(new)] = self.words(new)
+            self.at.update(zip(new, range(self.size, self.size + len(new))))
+            self.size += len(new)
+        at = self.at
+        at.update({raw: at[c] for raw, c in cores.items()})
+
+    def predict(self, texts: Iterable[str | None]) -> list[tuple[str, float]]:
+        """The language and its share for each text, `TOGETHER` characters (or one text) at a time."""
+        out, held, size = [], [], 0
+        for t in texts:
+            held.append(t)
+            size += len(t or "")
+            if size >= TOGETHER:
+                out += self._predict(held)
+                held, size = [], 0
+        return out + self._predict(held)
+
+    def _predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        if not self.langs:
+            return [("und", 0.0)] * len(texts)
+        if max(len(self.at), self.size) > MEMO_MOST:
             self.clear()
-        at, add = self.at.get, self._add
-        where = [add(w) if (i := at(w)) is None else i for w in text.lower().split()]
-        if not any(where):
-            return "und", 0.0
-        total = self.table[where].sum(axis=0)
-        best = int(total.argmax())
-        return self.langs[best], float(1 / np.exp(total - total[best]).sum())
+        split = [(t or "").lower().split() for t in texts]
+        new = set().union(*split).difference(self.at)
+        self._remember(new)
+        out, at = [], self.at
+        for words in split:
+            where = [at[w] for w in words]
+            if not any(where):
+                out.append(("und", 0.0))
+                continue
+            total = self.table[where].sum(axis=0)
+            best = int(total.argmax())
+            out.append((self.langs[best], float(1 / np.exp(total - total[best]).sum())))
+        for raw in new:
+            if len(raw) > 64:  # long words aren't kept
+                at.pop(raw, None)
+                at.pop(core(raw), None)
+        at[""] = 0
+        return out
 
 
 _models: dict[str, Model] = {}
@@ -207,7 +286,7 @@ def predicted(docs: DataFrame, path: str, learned: dict[str, dict[str, float]] |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(key, sent, path)
         for batch in batches:
-            got = [model.predict(t) for t in batch.column(2).to_pylist()]
+            got = model.predict(v.as_py() for v in batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([a for a, _ in got], pa.string()), pa.array([b for _, b in got], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")

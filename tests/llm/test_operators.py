@@ -177,3 +177,8 @@ def test_forward_sums_all_segmentations():
         return 1.0 if i == len(w) else sum(p(w[i:j]) * total(j) for j in range(i + 1, len(w) + 1) if w[i:j] in m.rows or j == i + 1)
 
     assert abs(np.exp(m.word(w)[0]) - total(0)) < 1e-12
+    many = [w, "▁ab", "▁zz", "▁" + "abc" * 20, "▁", "▁bc日", ""]
+    assert np.allclose(m.words(many), [m.word(x) for x in many], rtol=0, atol=1e-12)
+    again = language_id.Model({"x": dict(zip(m.rows, (r[0] for r in m.rows.values()))) | {"": 1e-3}, "y": {"": 1e-3}}, vocabulary)
+    texts = ["abc ab", None, "1 2", "c " * 5, "abc" * 50, "ab"]
+    assert again.predict(texts) == [again.predict([t])[0] for t in texts]

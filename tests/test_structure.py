@@ -130,6 +130,17 @@ def test_load_directory(spark, tmp_path):
     assert got["c.docx"].text == "# Head\n\nBody" and got["d.xlsx"].text == "# S\n\n| k | 5 |\n| --- | --- |"
 
 
+def test_slides_and_delimiters():
+    def slide(*shapes):
+        return "<p:sld xmlns:p='p' xmlns:a='a'>" + "".join(f"<p:sp><p:nvPr><p:ph type='{kind}'/></p:nvPr>{body}</p:sp>" for kind, body in shapes) + "</p:sld>"
+
+    line = lambda t, lvl="0": f"<a:p><a:pPr lvl='{lvl}'/><a:r><a:t>{t}</a:t></a:r></a:p>"
+    raw = _zip(**{"ppt/slides/slide2.xml": slide(("body", line("last"))), "ppt/slides/slide10.xml": slide(("body", line("ten"))),
+                  "ppt/slides/slide1.xml": slide(("title", line("Head")), ("body", line("one") + line("in", "1"))), "ppt/notesSlides/notesSlide1.xml": slide(("body", line("say")))})
+    assert files.PARSERS["pptx"][1](raw) == (None, "# Head\n\n- one\n  - in\n\nSpeaker notes: say\n\n# Slide 2\n\n- last\n\n# Slide 10\n\n- ten")
+    assert files.decode("ș".encode("utf-16")) == "ș" and files.decode(b"\xba") == "ş"
+
+
 def test_table_drops_empty_columns():
     assert files.table([["a", "", "b"], ["", "", "c"], ["d", None, ""]]) == "| a | b |\n| --- | --- |\n|  | c |\n| d |"
 

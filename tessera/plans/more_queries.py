@@ -127,9 +127,10 @@ def answers_report(spark, d):
 
 
 def _documents_with_sections(spark, d):
-    """Documents whose lines of even number are headings, so that they have sections."""
+    """Documents with a short heading line inserted before every fourth line, so that they have sections; every line stays whole."""
     lines = F.split("text", "\n")
-    marked = F.transform(lines, lambda x, i: F.when(i % 4 == 0, F.concat(F.lit("## "), F.substring(x, 1, 40))).when(i % 16 == 1, F.concat(F.lit("# "), F.substring(x, 1, 40))).otherwise(x))
+    headed = lambda sign, x: F.concat(F.lit(sign), F.substring(x, 1, 40), F.lit("\n"), x)
+    marked = F.transform(lines, lambda x, i: F.when(i % 4 == 0, headed("## ", x)).when(i % 16 == 1, headed("# ", x)).otherwise(x))
     return _read(spark, d, "documents").select("doc_id", F.array_join(marked, "\n").alias("text"))
 
 

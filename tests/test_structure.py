@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import answers, chunkers, library, metrics
+from tessera.plans import more_queries
 from tessera.sources import files, tables
 from tessera.sources.html import load_html
 from tessera.streaming import ingest
@@ -160,3 +161,20 @@ def test_stream_keeps_the_last_version(spark, tmp_path):
         ingest.ingest(ingest.arrivals(spark, src, "doc_id long, text string"), out, ck, strategy="fixed").awaitTermination()
     got = {r.doc_id: r.text for r in ingest.current(spark, out).collect()}
     assert got == {1: "Second text, longer.", 2: "Same."}
+
+
+def test_structure_query_chunks_every_character(spark, tmp_path):
+    texts = {1: "one line " * 30, 2: "\n".join(f"line {i} " + "w" * 60 for i in range(40)), 3: "", 4: "\n\nafter blanks"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    made = {r.doc_id: r.text for r in more_queries._documents_with_sections(spark, str(tmp_path)).collect()}
+    for k, text in texts.items():
+        lines, got = text.split("\n"), iter(made[k].split("\n"))
+        for i, line in enumerate(lines):
+            if i % 4 == 0 or i % 16 == 1:
+                assert next(got).lstrip("# ") == line[:40].lstrip("# ")
+            assert next(got) == line
+        assert next(got, None) is None
+    covered = {k: bytearray(len(t)) for k, t in made.items()}
+    for r in more_queries.chunk_structure(spark, str(tmp_path)).collect():
+        covered[r.doc_id][r.start_char:r.end_char] = b"\1" * (r.end_char - r.start_char)
+    assert all(c.isspace() or x for k, t in made.items() for c, x in zip(t, covered[k]))

@@ -55,9 +55,10 @@ def pattern_headings(spark, d):
 p AS (SELECT source, count(DISTINCT page) AS pages FROM l GROUP BY source) SELECT source, key, count(DISTINCT page) AS pages FROM l GROUP BY source, key
 HAVING count(DISTINCT page) >= (SELECT greatest(2, round_even(0.06 * p.pages, 0)) FROM p WHERE p.source = l.source AND p.pages >= 3)""")
 def repeated_lines(spark, d):
-    """Margin lines that recur over a document's pages; the share is lower here, as these pages repeat little."""
-    x = _read(spark, d, "documents").select("source", F.col("doc_id").alias("page"), T.repeat_key(F.substring("text", 1, 3)).alias("key"))
-    return library.repeated_lines(x, 0.06)
+    """Lines of whole texts that recur over a source's documents (its pages); the share is lower here, as these pages repeat little."""
+    x = _read(spark, d, "documents").select("source", F.col("doc_id").alias("page"), F.explode(F.split("text", "\n")).alias("line"))
+    x = x.select("source", "page", T.repeat_key(F.col("line")).alias("key"))
+    return library.repeated_lines(x, 0.06).where("key <> ''")
 
 
 @query(f"WITH {BM}, {DENSE}, f AS ({{}}), s AS (SELECT qid, pos AS n, id, source, lang, text FROM f JOIN documents ON id = doc_id), b AS (SELECT qid, string_agg('[' || n::VARCHAR || '] ' || source || ' — ' || lang || chr(10) || text, chr(10) || chr(10) ORDER BY n) AS t, count(*) AS n FROM s GROUP BY qid) SELECT item_id AS qid, md5('Sources:' || chr(10) || chr(10) || coalesce(t, '') || chr(10) || chr(10) || 'Question: ' || text) AS user_md5, coalesce(n, 0) AS n_sources FROM benchmark LEFT JOIN b ON qid = item_id".replace("{}", "WITH " + _lists("")))

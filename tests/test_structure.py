@@ -5,6 +5,7 @@ import zipfile
 
 import numpy as np
 import pytest
+from compare import differs, duck
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
@@ -178,3 +179,21 @@ def test_structure_query_chunks_every_character(spark, tmp_path):
     for r in more_queries.chunk_structure(spark, str(tmp_path)).collect():
         covered[r.doc_id][r.start_char:r.end_char] = b"\1" * (r.end_char - r.start_char)
     assert all(c.isspace() or x for k, t in made.items() for c, x in zip(t, covered[k]))
+
+
+def test_repeated_lines_query_reads_whole_texts(spark, tmp_path):
+    rows = [(i, "s", f"own start {'abcdef'[i]}\n\nInner  line {i} of all\nown middle {'abcdef'[i]}\nLast line\n") for i in range(6)] + [(9, "few", "Last line")]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.source, r.key): r.pages for r in more_queries.repeated_lines(spark, str(tmp_path)).collect()}
+    assert got == {("s", "inner line # of all"): 6, ("s", "last line"): 6}
+
+
+WHOLE_LINES = r"""WITH l AS (SELECT source, page, regexp_replace(lower(trim(regexp_replace(line, '\s+', ' ', 'g'))), '[0-9]+', '#', 'g') AS key FROM (SELECT source, doc_id AS page, unnest(string_split(text, chr(10))) AS line FROM documents)),
+p AS (SELECT source, count(DISTINCT page) AS pages FROM l GROUP BY source) SELECT source, key, count(DISTINCT page) AS pages FROM l WHERE key <> '' GROUP BY source, key
+HAVING count(DISTINCT page) >= (SELECT greatest(2, round_even(0.06 * p.pages, 0)) FROM p WHERE p.source = l.source AND p.pages >= 3)"""
+
+
+@pytest.mark.parametrize("name,sql", [("repeated_lines", WHOLE_LINES)])
+def test_whole_tables(spark, name, sql):
+    sf = "/root/testdata/sf0.001"
+    assert differs(spark, duck(sf), getattr(more_queries, name), sql, sf) is None

@@ -190,7 +190,7 @@ def single_modes(spark, d):
 SELECT doc_id, n, 'H' || n::VARCHAR AS heading FROM p""")
 def heading_asof(spark, d):
     """The heading at or before each of three positions, from a table of heading starts."""
-    heads = _read(spark, d, "documents").where("doc_id % 3 = 0").select("doc_id", F.expr("explode(sequence(1, 3))").alias("h"))
+    heads = _read(spark, d, "documents").select("doc_id", F.expr("explode(sequence(1, 3))").alias("h"))
     heads = heads.select("doc_id", (F.col("h") * 100).alias("start"), F.concat(F.lit("H"), F.col("h").cast("string")).alias("heading"))
     at = heads.select("doc_id", (F.col("start") + 50).alias("pos")).join(heads, "doc_id").where("start <= pos")
     return at.groupBy("doc_id", "pos").agg(F.max_by("heading", "start").alias("heading")).select("doc_id", ((F.col("pos") - 50) / 100).cast("long").alias("n"), "heading")

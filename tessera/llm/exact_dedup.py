@@ -10,7 +10,7 @@ bytes a chunk and never the texts.
 Nulls: a null text counts as empty, and all empty texts are equal.  A null doc_id sorts after the others
 as a candidate to stay (it stays only in a group without any other).  Repeated rows of one doc_id are
 kept as rows: each one that shares the smallest doc_id is marked as staying.  Extra columns are ignored
-by `exact_duplicates` and kept by `drop_duplicates`.
+by `exact_duplicates` and kept by `drop_duplicates`, which keeps one row of each group, whatever ids others share.
 """
 
 from __future__ import annotations
@@ -87,6 +87,11 @@ def exact_duplicates(docs: DataFrame, least: int = MIN_CHARS, most: int = MAX_CH
 
 
 def drop_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that stay, with all their columns; of repeated rows of one doc_id one stays."""
-    marked = exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(marked, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi").dropDuplicates(["doc_id"])
+    """The rows of `docs` that stay, with all their columns: one row of each group of equal texts.
+
+    Rows are found again by doc_id and text, so rows that share a doc_id (or have none) but not a text don't meet.
+    """
+    marked = exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha")).distinct()
+    hashed = docs.withColumn("_sha", F.sha2(squeezed(F.col("text")), 256))
+    on = F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_sha") == F.col("_kept_sha"))
+    return hashed.join(marked, on, "left_semi").dropDuplicates(["doc_id", "_sha"]).drop("_sha")

@@ -52,15 +52,16 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) with the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, *others: str) -> DataFrame:
+    """(doc_id, fp) with the fingerprint as a signed long, and the columns named in `others`."""
+    kinds = dict(docs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64)), *batch.columns[2:]], names=["doc_id", "fp", *others])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, fp long")
+    return docs.select("doc_id", "text", *others).mapInArrow(run, ", ".join([f"doc_id {kinds['doc_id']}", "fp long", *(f"{c} {kinds[c]}" for c in others)]))
 
 
 def _variants(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -184,19 +185,31 @@ def links(fps: DataFrame) -> DataFrame:
     )
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per input row: doc_id, fingerprint (16 hex digits), component_id."""
-    fps = written(fingerprints(docs), "fingerprints")
+def _named(fps: DataFrame) -> DataFrame:
+    """(fp, component, component_id) of each distinct fingerprint: the component's smallest fingerprint and doc_id."""
     distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
     distinct = written(distinct, "distinct")
     parts = components(links(distinct))
     named = distinct.join(parts, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     ids = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = named.join(ids, "component").select("fp", "component_id")
+    return named.join(ids, "component").select("fp", "component", "component_id")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """One row per input row: doc_id, fingerprint (16 hex digits), component_id."""
+    fps = written(fingerprints(docs), "fingerprints")
+    named = _named(fps).select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` whose id is their component's smallest, one each, with all columns."""
-    kept = near_duplicates(docs).where(F.expr("doc_id <=> component_id")).select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi").dropDuplicates(["doc_id"])
+    """One row of each component, with all columns: one whose id is the component's smallest.
+
+    It is found again by doc_id and text: components that share an id (or have none) keep a row each.
+    """
+    hashed = docs.withColumn("_sha", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
+    fps = written(fingerprints(hashed, "_sha"), "fingerprints")
+    first = fps.join(_named(fps), "fp").where(F.expr("doc_id <=> component_id"))
+    kept = first.groupBy("component").agg(F.min("component_id").alias("_kept_id"), F.min("_sha").alias("_kept_sha")).drop("component")
+    on = F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_sha") == F.col("_kept_sha"))
+    return hashed.join(kept, on, "left_semi").dropDuplicates(["doc_id", "_sha"]).drop("_sha")

@@ -182,3 +182,16 @@ def test_forward_sums_all_segmentations():
     again = language_id.Model({"x": dict(zip(m.rows, (r[0] for r in m.rows.values()))) | {"": 1e-3}, "y": {"": 1e-3}}, vocabulary)
     texts = ["abc ab", None, "1 2", "c " * 5, "abc" * 50, "ab"]
     assert again.predict(texts) == [again.predict([t])[0] for t in texts]
+
+
+def test_rows_with_shared_ids_stay(spark):
+    r = np.random.default_rng(5)
+    other = [" ".join(f"w{x}" for x in r.integers(0, 10**6, 60)) for _ in range(6)]
+    rows = [(None, other[0]), (None, other[1]), (None, other[1]), (None, None), (7, other[2]), (7, other[3]), (7, other[4]), (1, other[4]), (None, other[2]), (7, other[5])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("extra", F.lit(1))
+    want = sorted([(None, other[0]), (None, other[1]), (None, None), (7, other[2]), (7, other[3]), (1, other[4]), (7, other[5])], key=str)
+    for drop in (exact_dedup.drop_duplicates, simhash.one_of_each):
+        got = drop(frame)
+        assert got.columns == frame.columns and sorted(((x.doc_id, x.text) for x in got.collect()), key=str) == want
+    linked = spark.createDataFrame([(None, "a b c"), (None, "A  b c"), (None, "x y z"), (2, "u v"), (2, "U v"), (3, "u V")], "doc_id long, text string")
+    assert sorted((x.doc_id or 0, x.text.lower()[0]) for x in simhash.one_of_each(linked).collect()) == [(0, "a"), (0, "x"), (2, "u")]

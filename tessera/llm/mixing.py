@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import word_list, written
+from .common import WORD, WS, word_list, written
 
 BLOCK = 512
 WEIGHTS = (5, 2, 1)
@@ -179,22 +179,29 @@ def mixture(docs: DataFrame, shards: int = SHARDS, seed: int = 0, block: int = B
 
 
 def mixed_documents(docs: DataFrame, shards: int = SHARDS, seed: int = 0, block: int = BLOCK) -> DataFrame:
-    """The mix as documents: one row per document and epoch that takes words of it, with the columns of `docs`.
+    """The mix as texts, dealt to shards: one row per draw (a block of a document in an epoch), in order of position.
 
-    A document taken whole keeps its text; of the others the drawn blocks are joined in order, words by one
-    space.  `n_chars`, where there is one, follows the text.
+    The columns of `docs`, then shard and position.  A block taken whole keeps its text and white space, so that
+    a document's blocks joined in order are its text; of one cut to the word the words are joined by one
+    space.  `n_chars`, where there is one, follows the text.  A shard is in one partition, sorted by position.
     """
-    base = docs.withColumn("_size", F.size(word_list(F.col("text"))).cast("long"))
+    own = [c for c in docs.columns if c not in ("shard", "position")]
+    base = docs.select(*own, F.size(word_list(F.col("text"))).cast("long").alias("_size"))
     _, draws = plan(written(sized(docs), "sizes"), shards, seed, block)
-    runs = draws.groupBy("doc_id", "source", "size", "copy", "epoch").agg(
-        F.sort_array(F.collect_list(F.struct("block", F.col("words").cast("int").alias("words")))).alias("_runs"), F.sum("words").alias("_taken")
+    draws = sharded(written(draws, "draws"), shards, seed)
+    # A document's draws come together before its text joins them, so that texts are moved and cut once.
+    runs = draws.groupBy(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("copy").alias("_c")).agg(
+        F.collect_list(F.struct("block", F.col("words").cast("int").alias("words"), F.col("shard").cast("int").alias("shard"), F.col("position").cast("long").alias("position"))).alias("_runs")
     )
     numbered = base.withColumn("_copy", F.row_number().over(Window.partitionBy("doc_id", "source", "_size").orderBy(F.xxhash64("text"))).cast("long"))
     on = [F.col(a).eqNullSafe(F.col(b)) for a, b in (("doc_id", "_d"), ("source", "_s"), ("_size", "_z"), ("_copy", "_c"))]
-    runs = runs.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("copy").alias("_c"), "_runs", "_taken")
-    words = F.flatten(F.transform("_runs", lambda r: F.slice("_words", (r["block"] * block + 1).cast("int"), r["words"])))
-    text = F.when(F.col("_taken") == F.col("_size"), F.col("text")).otherwise(F.array_join(words, " "))
-    out = numbered.join(runs, on).withColumn("_words", word_list(F.col("text"))).withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+    cut = F.when(F.col("_size") <= block, F.array("text")).otherwise(F.regexp_extract_all("text", F.lit(rf"[{WS}]*+(?>{WORD}+[{WS}]*+){{1,{block}}}"), 0))
+
+    def taken(r):
+        part = F.get("_parts", r["block"].cast("int"))
+        whole = r["words"] == F.least(F.lit(block).cast("long"), F.col("_size") - r["block"] * block)
+        return F.struct(F.when(whole, part).otherwise(F.array_join(F.slice(word_list(part), 1, r["words"]), " ")).alias("text"), r["shard"].alias("shard"), r["position"].alias("position"))
+
+    out = numbered.join(runs, on).withColumn("_parts", cut).withColumn("_row", F.explode(F.transform("_runs", taken)))
+    out = out.select(*[F.col("_row.text").alias(c) if c == "text" else F.length("_row.text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in own], "_row.shard", "_row.position")
+    return out.repartition(shards, "shard").sortWithinPartitions("shard", "position")

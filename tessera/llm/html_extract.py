@@ -1,14 +1,17 @@
 """Main text of web pages by text-to-tag ratios.
 
-The standard library's parser streams events; each block of a page is a line with its text, its number of
-tags and the text inside links.  The ratio of text to tags of each line is smoothed with a Gaussian, and
-lines above the threshold (the smoothed ratios' standard deviation, at most their mean) are the content
-seeds.  Seeds cluster by the section that holds them: among the page's sections (article, main, or the
-enclosing container) the one with the most seed text is the content region, and every line of it stays,
-short paragraphs and headings included.  Parts that are never content (menus, headers, footers, asides,
-forms, scripts, notices, adverts, reader comments) are left out by element, role and class before that.
-
-Nulls and empty pages give an empty text.  Repeated rows are extracted one by one.  Extra columns are ignored.
+The standard library's parser streams events; each block of a page is a line with its text and its number of tags.  A
+line's ratio is its running text per tag: text inside links doesn't run, nor does any in parts that are never
+content (menus, headers, footers, asides, forms, notices, adverts, reader comments, by element, role or class).
+The ratios are smoothed with a Gaussian, and lines above the threshold (the smoothed ratios' standard deviation, at
+most their mean) are seeds.  Seeds cluster by the section that holds them (article or main, or for the lines outside
+of those the innermost container of nearly all their seeds).  Every article or main with seeds is a content region; the
+container is one where its seeds weigh more than half of all.  All lines of a region whose ratio isn't zero stay, short
+paragraphs and headings included, and so do lines of links alone, but for three list items or more in a row, which are a
+menu.  Outside of the regions a line stays if it is a seed and its own ratio passes the threshold too.
+
+Nulls, empty pages and pages without running text give an empty text; an empty table gives an empty result.  Whole pages are
+parsed, however long or deep: the work grows with the page.  Repeated rows are extracted one by one.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,25 +27,44 @@ from pyspark.sql import DataFrame
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-NEVER = frozenset("nav footer aside form script style noscript template head title select button textarea iframe svg object canvas dialog menu".split())
+NEVER = frozenset("nav footer aside form dialog menu".split())
+UNSEEN = frozenset("script style noscript template head title select button textarea iframe svg object canvas".split())  # no text at all
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTAINERS = frozenset("article main section div body td".split())
 SECTIONS = frozenset(("article", "main"))
-RAW = frozenset(("script", "style"))
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
-#: Words of class or id that mark a part as none of the article's.
-MARKS = re.compile(
-    r"(?:^|[-_\s])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|disqus|footer|gdpr|hidden|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|notifications?|pagination|popup|promo\w*|recommend\w*|related|replies|reply|respond|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|teaser|toolbar|widget)(?:$|[-_\s])"
+#: Words of class or id that mark a part as none of the article's, where they are the last word of a name ...
+MARKS = frozenset(
+    """ad ads advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies
+    disqus footer gdpr hidden masthead menu modal nav navbar navigation newsletter notice notices notification notifications
+    pagination popup promo promotion recommendations recommended related replies reply respond share sharing sidebar signup social
+    sponsor sponsored sponsors subscribe teaser teasers toolbar topbar widget widgets""".split()
 )
+#: ... but for words that only say how it is laid out.
+LAYOUT = frozenset(
+    """area bar block body bottom box buttons col column container content group holder icons inner item items left line link links list media middle outer
+    panel right row section slot text top unit wrap wrapper""".split()
+)
+NAME_PARTS = re.compile(r"[-_\d]+|(?<=[a-z])(?=[A-Z])")
 HIDDEN = re.compile(r"display\s*:\s*none")
 SIGMA = 1.0
+MENU = 3  # lines of links alone in a row
+NEARLY = 0.9  # of the seeds
 
 
 class Line:
-    __slots__ = ("text", "tags", "linked", "section")
+    __slots__ = ("text", "tags", "running", "barred", "item", "section")
 
     def __init__(self, section: int):
-        self.text, self.tags, self.linked, self.section = [], 0, 0, section
+        self.text, self.tags, self.running, self.barred, self.item, self.section = [], 0, 0, False, False, section
+
+
+def _named(name: str) -> bool:
+    """Whether a name of a class or id ends in a mark, layout words aside: `cookie-notice-box`, not `notice-of-sale`."""
+    parts = [p.lower() for p in NAME_PARTS.split(name) if p]
+    while len(parts) > 1 and parts[-1] in LAYOUT:
+        parts.pop()
+    return bool(parts) and parts[-1] in MARKS
 
 
 def _marked(tag: str, a: dict[str, str | None]) -> bool:
@@ -51,8 +73,8 @@ def _marked(tag: str, a: dict[str, str | None]) -> bool:
         return True
     if tag in ("html", "body", "article", "main"):
         return False
-    names = f"{a.get('class') or ''} {a.get('id') or ''}"
-    return names != " " and MARKS.search(names.lower()) is not None or "style" in a and HIDDEN.search(a["style"] or "") is not None
+    names = f"{a.get('class') or ''} {a.get('id') or ''}".split()
+    return any(_named(n) for n in names) or "style" in a and HIDDEN.search(a["style"] or "") is not None
 
 
 class Lines(HTMLParser):
@@ -60,8 +82,9 @@ class Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int]] = []  # tag, starts a skipped part, section
-        self.skipped = 0
+        self.open: list[tuple[str, int, int]] = []  # tag, 1 if it starts a part that is never content (2: without text), section
+        self.count: dict[str, int] = {}  # how many of each tag are open
+        self.barred = self.unseen = 0
         self.links = 0
         self.lines: list[Line] = []
         self.sections: list[tuple[str, int]] = [("root", -1)]
@@ -85,7 +108,7 @@ class Lines(HTMLParser):
         if tag in VOID:
             if tag == "hr":
                 self.cut()
-            elif tag == "br" and not self.skipped:
+            elif tag == "br" and not self.unseen:
                 now.text.append(" ")
             self.now.tags += 1
             return
@@ -93,18 +116,20 @@ class Lines(HTMLParser):
         if block:
             self._close_p(tag)
             self.cut()
-        skip = tag in NEVER
-        if not skip and not self.skipped:
+        bar = 2 if tag in UNSEEN else 1 if tag in NEVER else 0
+        if not bar and not self.barred:
             if attrs:
-                skip = _marked(tag, dict(attrs))
-            if tag == "header" and not skip:
-                skip = not any(t in SECTIONS for t, _, _ in self.open)
+                bar = int(_marked(tag, dict(attrs)))
+            if tag == "header" and not bar:
+                bar = int(not any(self.count.get(t) for t in SECTIONS))
         section = self.open[-1][2] if self.open else 0
         if tag in CONTAINERS:
             self.sections.append((tag, section))
             section = len(self.sections) - 1
-        self.open.append((tag, skip, section))
-        self.skipped += skip
+        self.open.append((tag, bar, section))
+        self.count[tag] = self.count.get(tag, 0) + 1
+        self.barred += bar == 1
+        self.unseen += bar == 2
         if tag == "a":
             self.links += 1
         if block:
@@ -117,45 +142,45 @@ class Lines(HTMLParser):
             t = self.open[i][0]
             if t == "p" or (t in HEADINGS and tag in HEADINGS):
                 self._pop(i)
+                self.cut()
                 return
             if t in BLOCKS or t in ("table", "button", "object"):
                 return
-        return
 
     def _pop(self, at: int) -> None:
         while len(self.open) > at:
-            tag, skip, _ = self.open.pop()
-            self.skipped -= skip
+            tag, bar, _ = self.open.pop()
+            self.count[tag] -= 1
+            self.barred -= bar == 1
+            self.unseen -= bar == 2
             self.links -= tag == "a"
-        self.cut()
 
     def handle_endtag(self, tag: str) -> None:
         self.now.tags += 1
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                if tag in BLOCKS or any(t in BLOCKS for t, _, _ in self.open[i:]):
-                    # An inline end tag does not reach across the block around it.
-                    if tag not in BLOCKS:
-                        return
+        block = tag in BLOCKS
+        if self.count.get(tag):
+            for i in range(len(self.open) - 1, -1, -1):
+                t = self.open[i][0]
+                if t == tag:
+                    if block:
+                        self.cut()
                     self._pop(i)
-                else:
-                    while len(self.open) > i:
-                        t, skip, _ = self.open.pop()
-                        self.skipped -= skip
-                        self.links -= t == "a"
-                return
-        if tag in BLOCKS:
+                    break
+                if t in BLOCKS and not block:
+                    break  # an inline end tag does not reach across the block around it
+        if block:
             self.cut()
 
     def handle_data(self, data: str) -> None:
-        if self.skipped or (self.open and self.open[-1][0] in RAW):
+        if self.unseen:
             return
         if data:
-            if not self.now.text:
-                self.now.section = self._section()
-            self.now.text.append(data)
-            if self.links:
-                self.now.linked += len(data.strip())
+            now = self.now
+            if not now.text:
+                now.section, now.barred, now.item = self._section(), self.barred > 0, self.count.get("li", 0) > 0
+            now.text.append(data)
+            if not self.links and not self.barred:
+                now.running += len(data.strip())
 
 
 _REACH = max(1, int(2 * SIGMA + 0.5))
@@ -168,47 +193,71 @@ def smooth(x: list[float]) -> np.ndarray:
     return np.convolve([x[0]] * _REACH + x + [x[-1]] * _REACH, _KERNEL, mode="valid")
 
 
-def extract(html: str | None) -> str:
-    """The main text: blocks in page order, joined by an empty line."""
-    if not html:
-        return ""
+def ratios(lines: list[tuple[str, Line]]) -> list[float]:
+    """Running text per tag of each line."""
+    return [x.running / max(1, x.tags) for _, x in lines]
+
+
+def lines_of(html: str) -> tuple[list[tuple[str, Line]], list[tuple[str, int]]]:
+    """(lines with text, sections with the number of the section around)."""
     p = Lines()
     p.feed(html)
     p.close()
     p.cut()
-    rows = [(t, x) for x in p.lines if (t := " ".join("".join(x.text).split()))]
+    return [(t, x) for x in p.lines if (t := " ".join("".join(x.text).split()))], p.sections
+
+
+def extract(html: str | None) -> str:
+    """The main text: blocks in page order, joined by an empty line."""
+    rows, sections = lines_of(html or "")
     if not rows:
         return ""
-    ratio = smooth([max(0, len(t) - 2 * x.linked) / max(1, x.tags) for t, x in rows])
+    raw = ratios(rows)
+    ratio = smooth(raw)
     threshold = min(float(ratio.std()), float(ratio.mean()))
-    weight: dict[int, float] = {}
-    for (t, x), r in zip(rows, ratio.tolist()):
-        if r >= threshold:
-            s = x.section
-            while s >= 0:  # a seed counts for every section around it
-                weight[s] = weight.get(s, 0.0) + len(t)
-                s = p.sections[s][1]
-    total = max(weight.values(), default=0.0)
-    region = _region(p.sections, weight, total)
-
-    def inside(s: int) -> bool:
-        while s >= 0:
-            if s == region:
-                return True
-            s = p.sections[s][1]
-        return False
-
-    return "\n\n".join(t for t, x in rows if inside(x.section))
-
-
-def _region(sections: list[tuple[str, int]], weight: dict[int, float], total: float) -> int:
-    """The content section: an article or main with seeds if there is one, else the innermost with nearly all seeds."""
-    named = [i for i, (tag, _) in enumerate(sections) if tag in ("article", "main") and weight.get(i)]
-    if named:
-        best = max(named, key=lambda i: (weight[i], -i))
-        inner = [i for i in named if sections[i][0] == "article" and weight[i] >= 0.8 * weight[best]]
-        return max(inner) if inner else best
-    return max((i for i in range(len(sections)) if weight.get(i, 0.0) >= 0.9 * total), default=0)
+    seed = [r >= threshold and own > 0 for r, own in zip(ratio.tolist(), raw)]
+    inside = regions(sections, [(x.section, len(t)) for (t, x), yes in zip(rows, seed) if yes])
+    out, menu = [], []
+    for (t, x), own, yes in zip(rows, raw, seed):
+        if not inside[x.section] and not (yes and own >= threshold) or x.barred and own == 0:
+            continue
+        if own == 0 and x.item:
+            menu.append(t)
+            continue
+        out += menu if len(menu) < MENU else []  # a few items of links alone are text, more are a menu
+        out.append(t)
+        menu = []
+    return "\n\n".join(out + (menu if len(menu) < MENU else []))
+
+
+def regions(sections: list[tuple[str, int]], seeds: list[tuple[int, int]]) -> list[bool]:
+    """Which sections are content, by the sections and lengths of the seeds; a section comes after the one around it."""
+    n = len(sections)
+    weight, rest = [0] * n, [0] * n  # the seeds inside, and those of them outside of article and main
+    named = [False] * n
+    for i, (tag, up) in enumerate(sections):
+        named[i] = tag in SECTIONS or up >= 0 and named[up]
+    for s, length in seeds:
+        weight[s] += length
+        if not named[s]:
+            rest[s] += length
+    total = sum(length for _, length in seeds)
+    for i in range(n - 1, 0, -1):
+        weight[sections[i][1]] += weight[i]
+        rest[sections[i][1]] += rest[i]
+    # An article that holds nearly all of what is around it stands for that.
+    inner = [0] * n
+    for i in range(n - 1, 0, -1):
+        up = sections[i][1]
+        inner[up] += weight[i] if sections[i][0] in SECTIONS else inner[i]
+    chosen = [sections[i][0] in SECTIONS and weight[i] > 0 and inner[i] < NEARLY * weight[i] for i in range(n)]
+    around = -1
+    if 2 * rest[0] > total:
+        around = max(i for i in range(n) if not named[i] and rest[i] >= NEARLY * rest[0])
+    inside = [False] * n
+    for i, (_, up) in enumerate(sections):
+        inside[i] = chosen[i] or i == around or up >= 0 and inside[up]
+    return inside
 
 
 def extracted(pages: DataFrame) -> DataFrame:

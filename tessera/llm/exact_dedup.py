@@ -1,16 +1,17 @@
 """Exact deduplication by content-defined chunk recipes, in DataFrame operations only.
 
-A text, its white space squeezed, is cut where its own characters say so, so equal passages give equal
-chunks wherever they stand.  Each distinct chunk gets a verified identifier: a 64-bit hash, and the rank
+A text, its white space squeezed, is cut where its own characters say so, so that a passage gives the same chunks wherever it
+stands, but for the one it begins in and the one it ends in.  Each distinct chunk gets a verified identifier: a 64-bit hash, and the rank
 of the chunk among the chunks of that hash.  A document becomes its recipe, the ordered list of its
 identifiers, and two texts are equal exactly when their recipes are.  The chunks of the whole table are
 shuffled once, after a map-side combine, to verify the hashes; grouping and joining move recipes of eight
-bytes a chunk and never the texts.
+bytes a chunk and never the texts.  Groups that hold many of all rows join by broadcast (`join_groups`).
 
 Nulls: a null text counts as empty, and all empty texts are equal.  A null doc_id sorts after the others
 as a candidate to stay (it stays only in a group without any other).  Repeated rows of one doc_id are
-kept as rows: each one that shares the smallest doc_id is marked as staying.  Extra columns are ignored
-by `exact_duplicates` and kept by `drop_duplicates`, which keeps one row of each group, whatever ids others share.
+kept as rows: each one that shares the smallest doc_id is marked as staying.  Very long texts give long recipes and nothing else.
+An empty table gives an empty result.  Extra columns are ignored by `exact_duplicates`, whatever their names, and kept by
+`drop_duplicates`, which keeps one row of each group, whatever ids others share.
 """
 
 from __future__ import annotations
@@ -18,9 +19,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import squeezed, written
+from .common import join_groups, squeezed, written
 
-MIN_CHARS, MAX_CHARS = 768, 4096
+MIN_CHARS, MAX_CHARS = 64, 4096
 
 
 def _residue_class(modulus: int, residue: int) -> str:
@@ -29,12 +30,12 @@ def _residue_class(modulus: int, residue: int) -> str:
 
 
 def chunk_array(text: Column, least: int = MIN_CHARS, most: int = MAX_CHARS) -> Column:
-    """The chunks of a squeezed text in order: `least` characters, then on to a cut or up to `most`.
+    """The chunks of a squeezed text in order: to the first cut beyond `least` characters, or `most` of them.
 
-    A cut stands after two letters of fixed residues, so it depends on content only.  Where none comes,
-    as in scripts beyond Latin, chunks have `most` characters; equality of recipes holds all the same.
+    A cut stands after three letters of fixed residues, about one place in some hundreds, so it depends on content only.  Where none
+    comes, as in scripts beyond Latin, chunks have `most` characters; equality of recipes holds all the same.
     """
-    cut = _residue_class(8, 5) + _residue_class(8, 4)
+    cut = _residue_class(8, 5) + _residue_class(8, 4) + _residue_class(8, 1)
     return F.regexp_extract_all(text, F.lit(rf"(?s).{{{least},{most}}}?(?<={cut})|.{{1,{most}}}"), 0)
 
 
@@ -79,9 +80,8 @@ def exact_duplicates(docs: DataFrame, least: int = MIN_CHARS, most: int = MAX_CH
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
     # Written once: both the grouping and the join read recipes, and texts are not cut again.
     r = written(recipes(docs.select("doc_id", "text"), least, most, hashed), "recipes")
-    # Partial sums of each group before the shuffle; a hot group then joins back row by row, where AQE splits skew.
     groups = r.groupBy("recipe").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    return r.join(groups, "recipe").select(
+    return join_groups(r, groups, "recipe", "group_size").select(
         "doc_id", "keep_id", "group_size", F.expr("doc_id <=> keep_id").alias("kept"), "text_sha256"
     )
 
@@ -91,7 +91,8 @@ def drop_duplicates(docs: DataFrame) -> DataFrame:
 
     Rows are found again by doc_id and text, so rows that share a doc_id (or have none) but not a text don't meet.
     """
-    marked = exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha")).distinct()
-    hashed = docs.withColumn("_sha", F.sha2(squeezed(F.col("text")), 256))
-    on = F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_sha") == F.col("_kept_sha"))
-    return hashed.join(marked, on, "left_semi").dropDuplicates(["doc_id", "_sha"]).drop("_sha")
+    marked = exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_sha")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.sha2(squeezed(F.col("text")), 256).alias("sha"))
+    on = F.col("row.doc_id").eqNullSafe(F.col("kept_id")) & (F.col("sha") == F.col("kept_sha"))
+    found = rows.join(marked, on, "left_semi").withColumn("id", F.col("row.doc_id"))
+    return found.dropDuplicates(["id", "sha"]).select("row.*")

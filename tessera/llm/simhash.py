@@ -9,11 +9,14 @@ fall on one group, freeing that leaves none.  One or two differing bits meet lik
 
 Variants are shuffled by value and sorted; fingerprints that share one are compared, in blocks, and only
 verified links go on, and of those only the ones that connect: each task keeps a forest of what it has linked.
-Copies never meet: fingerprints are made distinct first, and a document joins its fingerprint at the end.
-Components of the linked fingerprints are found by star contraction.
+Copies never meet: fingerprints are made distinct first, and a document joins its fingerprint at the end; fingerprints that
+many of all rows have join by broadcast (`join_groups`).  The fingerprints of one variant differ in 18 bits at most, so a
+run has a bound that doesn't grow with the data.  Components of the linked fingerprints are found by star contraction.
 
 Nulls and texts without words have fingerprint zero, linked like any other.  A null doc_id takes part and gets
-its component's smallest non-null id (null if there is none).  Repeated rows get the same result each.
+its component's smallest non-null id (null if there is none).  Repeated rows get the same result each.  Very long texts are read
+whole, 4,096 shingles' bits at a time.  An empty table gives an empty result.  Extra columns are ignored by `near_duplicates`, whatever
+their names, and kept by `one_of_each`.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import join_groups, written
 from .components import components
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
@@ -161,22 +164,27 @@ def links(fps: DataFrame) -> DataFrame:
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Forest()
-        keys, fps_ = np.empty(0, np.uint64), np.empty(0, np.uint64)
 
         def out(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
             x = np.array(pairs, dtype=np.uint64).reshape(-1, 2).view(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["a", "b"])
 
+        wait: list[tuple[np.ndarray, np.ndarray]] = []  # the last run so far, which may go on in the next batch
         for batch in batches:
-            keys = np.r_[keys, batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)]
-            fps_ = np.r_[fps_, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)]
-            # The last run may go on in the next batch.
-            whole = int(np.flatnonzero(keys != keys[-1])[-1]) + 1 if keys[0] != keys[-1] else 0
-            if whole:
-                yield out([*_links(keys[:whole], fps_[:whole], forest)])
-                keys, fps_ = keys[whole:], fps_[whole:]
-        if len(keys):
-            yield out([*_links(keys, fps_, forest)])
+            k, f = (batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in (0, 1))
+            if not len(k):
+                continue
+            first = int(np.searchsorted(k.view(np.int64), k.view(np.int64)[0], side="right"))
+            if wait and wait[0][0][0] == k[0]:
+                wait.append((k[:first], f[:first]))
+                if first == len(k):
+                    continue
+                k, f = k[first:], f[first:]
+            last = int(np.searchsorted(k.view(np.int64), k.view(np.int64)[-1], side="left"))
+            yield out([*_links(*(np.concatenate(x) for x in zip(*wait, (k[:last], f[:last]))), forest)])
+            wait = [(k[last:], f[last:])]
+        if wait:
+            yield out([*_links(*(np.concatenate(x) for x in zip(*wait)), forest)])
 
     return (
         fps.select("fp").mapInArrow(emit, "variant long, fp long")
@@ -186,20 +194,20 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def _named(fps: DataFrame) -> DataFrame:
-    """(fp, component, component_id) of each distinct fingerprint: the component's smallest fingerprint and doc_id."""
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    """(fp, rows, component, component_id) of each distinct fingerprint: its rows, the component's smallest fingerprint and doc_id."""
+    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows"))
     distinct = written(distinct, "distinct")
     parts = components(links(distinct))
-    named = distinct.join(parts, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+    named = distinct.join(parts, F.col("fp") == F.col("node"), "left").select("fp", "rows", "first", F.coalesce("component", "fp").alias("component"))
     ids = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    return named.join(ids, "component").select("fp", "component", "component_id")
+    return named.join(ids, "component").select("fp", "rows", "component", "component_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id."""
     fps = written(fingerprints(docs), "fingerprints")
-    named = _named(fps).select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = _named(fps).select("fp", "rows", "component_id")
+    return join_groups(fps, named, "fp", "rows").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
@@ -207,9 +215,11 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     It is found again by doc_id and text: components that share an id (or have none) keep a row each.
     """
-    hashed = docs.withColumn("_sha", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
-    fps = written(fingerprints(hashed, "_sha"), "fingerprints")
-    first = fps.join(_named(fps), "fp").where(F.expr("doc_id <=> component_id"))
-    kept = first.groupBy("component").agg(F.min("component_id").alias("_kept_id"), F.min("_sha").alias("_kept_sha")).drop("component")
-    on = F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_sha") == F.col("_kept_sha"))
-    return hashed.join(kept, on, "left_semi").dropDuplicates(["doc_id", "_sha"]).drop("_sha")
+    text, sha = F.col("text"), F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
+    fps = written(fingerprints(docs.select("doc_id", text, sha.alias("sha")), "sha"), "fingerprints")
+    first = join_groups(fps, _named(fps), "fp", "rows").where(F.expr("doc_id <=> component_id"))
+    kept = first.groupBy("component").agg(F.min("component_id").alias("kept_id"), F.min("sha").alias("kept_sha")).drop("component")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), sha.alias("sha"))
+    on = F.col("row.doc_id").eqNullSafe(F.col("kept_id")) & (F.col("sha") == F.col("kept_sha"))
+    found = rows.join(kept, on, "left_semi").withColumn("id", F.col("row.doc_id"))
+    return found.dropDuplicates(["id", "sha"]).select("row.*")

@@ -3,11 +3,14 @@
 A language is a probability for each piece of a fixed public vocabulary.  A word's probability sums, by the forward
 algorithm, over all its segmentations into pieces; a text's is the product over its words.  Piece probabilities come
 from one round of expectation-maximisation that starts from equal probabilities, over the words of a bounded
-sample of labelled rows (`MAX_DOCS` in expectation, by a hash of doc_id).  What reaches the driver is at most one
-count per language and piece; the number of languages is checked against `MAX_LANGS`.
-
-A null text, or one without a letter, is `und` with score 0, as is every text if there was nothing to learn from.
-Repeated rows get the same result each; equal likelihoods go to the first language in code-point order.  Extra columns are ignored.
+sample of labelled rows: `LANG_DOCS` of each language in expectation, by a hash of doc_id, and all of a language that has
+fewer.  What reaches the driver at once is at most one count per piece for `LANGS_TOGETHER` languages; so much is broadcast at a time
+as well, and more languages are scored group by group, with the same result.
+
+A null text, or one without a letter, is `und` with score 0, as is every text if there was nothing to learn from (an empty
+table, no labels).  Words of any length count, in learning and in scoring: long ones are rescaled on the way; a long text is scored whole.
+Repeated rows get the same result each; equal likelihoods go to the first language in code-point order.  Extra columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_DOCS, MAX_LANGS = 4_000, 1_000
+from .common import join_groups, written
+
+LANG_DOCS, LANGS_TOGETHER = 2_000, 16
+STEP = 1e60  # by which sums are rescaled
 MEMO_MOST = 600_000
 LONGEST = 16
 SHORT = 24  # words up to here need no rescaling and go forward together
@@ -47,30 +53,53 @@ def core(word: str) -> str:
 
 
 def expected_counts(word: str, known: dict[str, int]) -> dict[str, float]:
-    """Expected uses of each piece in a word when all segmentations of equal length are equally likely."""
-    n, p = len(word), 1.0 / max(1, len(known))
+    """Expected uses of each piece in a word when all segmentations of equal length are equally likely; of any length of word."""
+    n, p = len(word), 1e4 / max(1, len(known))
+    ends = [[j for j in range(i + 1, min(n, i + LONGEST) + 1) if j == i + 1 or word[i:j] in known] for i in range(n)]
     ahead, back = [0.0] * (n + 1), [0.0] * (n + 1)
+    up, down = [0] * (n + 1), [0] * (n + 1)  # how often each sum was made larger by STEP
     ahead[0] = back[n] = 1.0
-    spans = [(i, j) for i in range(n) for j in range(i + 1, min(n, i + LONGEST) + 1) if j == i + 1 or word[i:j] in known]
-    for i, j in spans:
-        ahead[j] += ahead[i] * p * 1e4
-    for i, j in reversed(spans):
-        back[i] += back[j] * p * 1e4
-    total = ahead[n]
+    for i in range(n):
+        for j in ends[i]:
+            ahead[j] += ahead[i] * p
+        near = range(i + 1, min(n, i + LONGEST) + 1)
+        k = _steps(max(ahead[j] for j in near))
+        for j in near:
+            ahead[j] *= STEP**k
+        up[i + 1] = up[i] + k
+    starts: list[list[int]] = [[] for _ in range(n + 1)]
+    for i, js in enumerate(ends):
+        for j in js:
+            starts[j].append(i)
+    for j in range(n, 0, -1):
+        for i in starts[j]:
+            back[i] += back[j] * p
+        near = range(max(0, j - LONGEST), j)
+        k = _steps(max(back[i] for i in near))
+        for i in near:
+            back[i] *= STEP**k
+        down[j - 1] = down[j] + k
     out: dict[str, float] = {}
-    if total > 0:
-        for i, j in spans:
+    for i, js in enumerate(ends):
+        for j in js:
             if word[i:j] in known:
-                out[word[i:j]] = out.get(word[i:j], 0.0) + ahead[i] * p * 1e4 * back[j] / total
+                share = ahead[i] / ahead[n] * p * back[j]
+                for _ in range(abs(k := up[n] - up[i] - down[j])):
+                    share = share * STEP if k > 0 else share / STEP
+                out[word[i:j]] = out.get(word[i:j], 0.0) + share
     return out
 
 
-def learn(docs: DataFrame, path: str, most: int = MAX_DOCS) -> dict[str, dict[str, float]]:
-    """language -> piece -> probability, from rows (doc_id, text, lang) with a language."""
+def _steps(top: float) -> int:
+    return 1 if top < 1 / STEP else -1 if top > STEP else 0
+
+
+def learn(docs: DataFrame, path: str, most: int = LANG_DOCS) -> DataFrame:
+    """(lang, piece, n): expected uses of each piece, from rows (doc_id, text, lang) with a language; written."""
     rows = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
-    n = rows.count()
-    if n > most:
-        rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("languages")), F.lit(1 << 24)) < int(most / n * (1 << 24)))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("rows"))
+    share = F.pmod(F.xxhash64("doc_id", F.lit("languages")), F.lit(1 << 24)) * F.col("rows") < F.lit(most << 24)
+    rows = join_groups(rows, written(counts, "languages"), "lang", "rows").where(share).drop("rows")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,22 +116,30 @@ def learn(docs: DataFrame, path: str, most: int = MAX_DOCS) -> dict[str, dict[st
     def uses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = {p: i for i, p in enumerate(pieces(path))}
         sums: dict[tuple[str, str], float] = {}
+
+        def out() -> pa.RecordBatch:
+            keys = [*sums]
+            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in keys], pa.string()), pa.array([b for _, b in keys], pa.string()), pa.array([*sums.values()], pa.float64())], names=["lang", "piece", "n"])
+
         for batch in batches:
             for lang, word, k in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 for piece, x in expected_counts(word, known).items():
                     sums[lang, piece] = sums.get((lang, piece), 0.0) + x * k
-        keys = [*sums]
-        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in keys], pa.string()), pa.array([b for _, b in keys], pa.string()), pa.array([*sums.values()], pa.float64())], names=["lang", "piece", "n"])
+            if len(sums) > MEMO_MOST:
+                yield out()
+                sums = {}
+        yield out()
 
     counted = rows.select("text", "lang").mapInArrow(words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    totals = counted.mapInArrow(uses, "lang string, piece string, n double").groupBy("lang", "piece").agg(F.round(F.sum("n"), 4).alias("n"))
-    langs = [r[0] for r in totals.select("lang").distinct().limit(MAX_LANGS + 1).collect()]
-    if len(langs) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
-    out: dict[str, dict[str, float]] = {lang: {} for lang in sorted(langs)}
-    for lang, piece, x in totals.collect():
+    uses_ = counted.mapInArrow(uses, "lang string, piece string, n double").groupBy("lang", "piece").agg(F.round(F.sum("n"), 4).alias("n"))
+    return written(uses_, "pieces")
+
+
+def probabilities(totals: DataFrame, langs: list[str], size: int) -> dict[str, dict[str, float]]:
+    """language -> piece -> probability, and "" for a piece never met; of the languages asked for, whose counts are collected."""
+    out: dict[str, dict[str, float]] = {lang: {} for lang in langs}
+    for lang, piece, x in totals.where(F.col("lang").isin(*langs)).collect():
         out[lang][piece] = x
-    size = len(pieces(path))
     for lang, c in out.items():
         whole = sum(c[p] for p in sorted(c)) + SMOOTH * size
         out[lang] = {p: (c[p] + SMOOTH) / whole for p in sorted(c)} | {"": SMOOTH / whole}
@@ -225,20 +262,21 @@ class Model:
         at = self.at
         at.update({raw: at[c] for raw, c in cores.items()})
 
-    def predict(self, texts: Iterable[str | None]) -> list[tuple[str, float]]:
-        """The language and its share for each text, `TOGETHER` characters (or one text) at a time."""
+    def totals(self, texts: Iterable[str | None]) -> list[np.ndarray | None]:
+        """The log-likelihood of each text in each language, None without a letter; `TOGETHER` characters (or one text) at a time."""
         out, held, size = [], [], 0
         for t in texts:
             held.append(t)
             size += len(t or "")
             if size >= TOGETHER:
-                out += self._predict(held)
+                out += self._totals(held)
                 held, size = [], 0
-        return out + self._predict(held)
+        return out + self._totals(held)
+
+    def predict(self, texts: Iterable[str | None]) -> list[tuple[str, float]]:
+        return [decided(self.langs, x) for x in self.totals(texts)]
 
-    def _predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        if not self.langs:
-            return [("und", 0.0)] * len(texts)
+    def _totals(self, texts: list[str | None]) -> list[np.ndarray | None]:
         if max(len(self.at), self.size) > MEMO_MOST:
             self.clear()
         split = [(t or "").lower().split() for t in texts]
@@ -247,12 +285,7 @@ class Model:
         out, at = [], self.at
         for words in split:
             where = [at[w] for w in words]
-            if not any(where):
-                out.append(("und", 0.0))
-                continue
-            total = self.table[where].sum(axis=0)
-            best = int(total.argmax())
-            out.append((self.langs[best], float(1 / np.exp(total - total[best]).sum())))
+            out.append(self.table[where].sum(axis=0) if any(where) else None)
         for raw in new:
             if len(raw) > 64:  # long words aren't kept
                 at.pop(raw, None)
@@ -261,32 +294,44 @@ class Model:
         return out
 
 
-_models: dict[str, Model] = {}
+def decided(langs: list[str], total: np.ndarray | None) -> tuple[str, float]:
+    """The likeliest language and its share."""
+    if total is None or not len(total):
+        return "und", 0.0
+    best = int(total.argmax())
+    return langs[best], float(1 / np.exp(total - total[best]).sum())
+
 
+_models: dict[tuple[str, int], Model] = {}
 
-def model_of(key: str, sent, path: str) -> Model:
+
+def model_of(key: str, group: int, sent, path: str) -> Model:
     """One model per Python worker: the last one asked for, with the words it remembers."""
-    if key not in _models:
+    if (key, group) not in _models:
         _models.clear()
-        _models[key] = Model(sent.value, pieces(path))
-    return _models[key]
+        _models[key, group] = Model(sent.value, pieces(path))
+    return _models[key, group]
 
 
 def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def predicted(docs: DataFrame, path: str, learned: dict[str, dict[str, float]] | None = None) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of each row; learns from the rows that aren't held out."""
-    if learned is None:
-        learned = learn(docs.where(~held_out(F.col("doc_id"))), path)
-    sent = docs.sparkSession.sparkContext.broadcast(learned)  # a number per language and piece at most
+def predicted(docs: DataFrame, path: str, totals: DataFrame | None = None, together: int = LANGS_TOGETHER) -> DataFrame:
+    """doc_id, held_out, lang_pred, score of each row; learns from the rows that aren't held out unless counts are given."""
+    if totals is None:
+        totals = learn(docs.where(~held_out(F.col("doc_id"))), path)
+    context = docs.sparkSession.sparkContext
+    langs = sorted(r[0] for r in totals.select("lang").distinct().collect())  # a name per language
+    size = len(pieces(path))
+    sent = [context.broadcast(probabilities(totals, langs[lo : lo + together], size)) for lo in range(0, len(langs), together)]
     key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = model_of(key, sent, path)
         for batch in batches:
-            got = model.predict(v.as_py() for v in batch.column(2))
+            found = [model_of(key, g, x, path).totals(v.as_py() for v in batch.column(2)) for g, x in enumerate(sent)]
+            rows = zip(*found) if found else [()] * batch.num_rows
+            got = [decided(langs, None if not x or x[0] is None else np.concatenate(x)) for x in rows]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([a for a, _ in got], pa.string()), pa.array([b for _, b in got], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")

@@ -8,17 +8,20 @@ A file is a sequence of containers.  A container (all integers little-endian):
     n x 24   index: doc_id (int64), end of the frame within the body (uint64), ids with the end id (uint64)
     body     n zstandard frames, one a document: its ids as uint16 (or uint32 where the vocabulary needs it)
 
-so one document is read by its index entry and one frame.  The dictionary is trained on the ids of a
-documented sample (`DICT_DOCS` documents in expectation, drawn by a hash of doc_id) and stored once beside
-the containers.  Containers travel as binary values of Parquet rows (part, seq, n_docs, n_ids, blob), because
-Spark's writers are what reaches every store and commits whole files only.
+so one document is read by its index entry and one frame.  The dictionary is trained on the ids of a documented sample: about
+`DICT_DOCS` documents drawn by a hash of doc_id, twice as many at most, and of each at most `DICT_PIECES` pieces of
+`DICT_PIECE` bytes, evenly spaced over the whole document.  Where that is too little to train on, the pieces
+themselves are the dictionary; an empty table has an empty one.  It is stored once beside the containers.  Containers travel as binary
+values of Parquet rows (part, seq, n_docs, n_ids, blob), because Spark's writers are what reaches every store and commits whole files only.
 
-Documents are encoded where they are read; only compressed frames are shuffled, by ranges of doc_id whose
-bounds come from a quantile sketch of the ids.  A range's containers are built in order and hold at most
-`CONTAINER_BYTES` of frames (or one document).
+Documents are encoded where they are read, whole; only compressed frames are shuffled, by ranges of doc_id whose
+bounds come from a quantile sketch of the ids: `RANGES_MOST` at most, so that the sketch and what is summed over the ranges have a bound.
+A doc_id that takes several ranges (one that many rows share) is split among them by its rows' tie numbers.
+A range is sorted externally and its containers are built as its rows pass; one holds at most `CONTAINER_BYTES` of frames, or one document.
 
 Nulls: a null text has the end id only; a null doc_id comes first and is stored with the smallest int64.
-Repeated rows are separate documents, in order of their ids' bytes.  An empty table gives no container.
+Repeated rows are separate documents, in order of their tie numbers, the CRC-32 of their frames, then of the frames' bytes.
+An empty table gives no container.  Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -42,9 +45,9 @@ from .bpe import byte_letters
 from .common import arrow_batches, shared_dir
 
 MAGIC = b"TOK1"
-DICT_BYTES, DICT_DOCS = 65_536, 1_000
+DICT_BYTES, DICT_DOCS, DICT_PIECES, DICT_PIECE = 65_536, 1_000, 4, 2_048
 CONTAINER_BYTES = 4 << 20
-ROWS_PER_RANGE = 8_192
+ROWS_PER_RANGE, RANGES_MOST = 8_192, 4_096
 MEMO_MOST = 600_000
 ROWS = 500
 BATCH_BYTES = 4 << 20
@@ -140,11 +143,25 @@ def train_dictionary(docs: DataFrame, path: str, end_id: int, most: int = DICT_B
     n = docs.count()
     share = min(1.0, sample / max(1, n))
     picked = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("dictionary")), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    parts = [bytes(r[0]) for r in _encoded(picked, path, end_id).select("ids").limit(2 * sample).collect()]
-    try:
-        return zstandard.train_dictionary(most, [x[:2048] for x in parts], k=256, d=8).as_bytes(), n
-    except zstandard.ZstdError:  # too little to learn from: frames without a dictionary
+    parts = [x for r in _encoded(picked, path, end_id).select("ids").limit(2 * sample).collect() for x in spaced(bytes(r[0]))]
+    if not parts:
         return b"", n
+    try:
+        return zstandard.train_dictionary(most, parts, k=256, d=8).as_bytes(), n
+    except zstandard.ZstdError:  # too little to train on
+        return b"".join(parts)[-most:], n
+
+
+def spaced(ids: bytes, pieces: int = DICT_PIECES, size: int = DICT_PIECE) -> list[bytes]:
+    """Pieces of `size` bytes at even distances over the whole, all of it if it is short."""
+    n = -(-len(ids) // size)
+    return [ids[i * size : (i + 1) * size] for i in sorted({k * n // pieces for k in range(pieces)} if n > pieces else range(n))]
+
+
+def part_of(docs: np.ndarray, ties: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The range of each (doc_id, tie): in their order; ids that are bounds are split by tie, those several times over into several."""
+    low, high = np.searchsorted(bounds, docs, side="left"), np.searchsorted(bounds, docs, side="right")
+    return (low + (ties.astype(np.uint64) * (high - low + 1).astype(np.uint64) >> np.uint64(32)).astype(np.int64)).astype(np.int32)
 
 
 def _encoded(docs: DataFrame, path: str, end_id: int) -> DataFrame:
@@ -168,10 +185,10 @@ def write(docs: DataFrame, path: str, out: str, end_id: int = 1, level: int = LE
     dictionary, n = train_dictionary(docs, path, end_id)
     spark.createDataFrame([(bytearray(dictionary),)], "dictionary binary").coalesce(1).write.parquet(f"{out}/dictionary")
     size = np.dtype(encoder(path).dtype).itemsize
-    ranges = max(1, -(-n // ROWS_PER_RANGE))
+    ranges = min(RANGES_MOST, max(1, -(-n // ROWS_PER_RANGE)))
     ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"))
-    # A sketch of the ids; its bounds have ROWS_PER_RANGE rows between them, whatever the size.
-    bounds = [] if ranges == 1 else sorted(set(ids.select(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 100 * ranges)).first()[0] or []))
+    # A sketch of the ids; its bounds have n / ranges rows between them.
+    bounds = [] if ranges == 1 else sorted(ids.select(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0] or [])
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
@@ -184,10 +201,12 @@ def write(docs: DataFrame, path: str, out: str, end_id: int = 1, level: int = LE
         # Encoded and compressed in one worker, in short slices.
         for batch in (b.slice(lo, ROWS) for b in batches for lo in range(0, b.num_rows, ROWS)):
             raw = [enc.encode(t) + end for t in batch.column(1).to_pylist()]
-            part = np.searchsorted(edges, batch.column(0).to_numpy(zero_copy_only=False), side="left").astype(np.int32)
+            packed = [zip_.compress(x) for x in raw]
+            tie = np.array([zlib.crc32(x) for x in packed], dtype=np.int64)
+            part = part_of(batch.column(0).to_numpy(zero_copy_only=False), tie, edges)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(part), batch.column(0), pa.array([len(x) // size for x in raw], pa.int64()), pa.array([zip_.compress(x) for x in raw], pa.binary())],
-                names=["part", "doc_id", "n", "frame"],
+                [pa.array(part), batch.column(0), pa.array(tie), pa.array([len(x) // size for x in raw], pa.int64()), pa.array(packed, pa.binary())],
+                names=["part", "doc_id", "tie", "n", "frame"],
             )
 
     def containers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +221,7 @@ def write(docs: DataFrame, path: str, out: str, end_id: int = 1, level: int = LE
             )
 
         for batch in batches:
-            for part, doc, n_, frame in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for part, doc, _, n_, frame in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 if index and (part != now or end + len(frame) > CONTAINER_BYTES):
                     yield row()
                     seq, index, body, end = (seq + 1 if part == now else 0), [], [], 0
@@ -216,9 +235,9 @@ def write(docs: DataFrame, path: str, out: str, end_id: int = 1, level: int = LE
 
     (
         docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), "text")
-        .mapInArrow(frames, "part int, doc_id long, n long, frame binary")
+        .mapInArrow(frames, "part int, doc_id long, tie long, n long, frame binary")
         .repartitionById(ranges, "part")
-        .sortWithinPartitions("part", "doc_id", "frame")
+        .sortWithinPartitions("part", "doc_id", "tie", "frame")
         .mapInArrow(containers, "part int, seq int, n_docs long, n_ids long, blob binary")
         .write.parquet(f"{out}/containers")
     )
@@ -250,7 +269,7 @@ def read(spark: SparkSession, out: str, with_ids: bool = False) -> DataFrame:
     """One row per document, from the files: doc_id, start, n_tokens, ids_crc32 (and ids)."""
     dictionary = bytes(spark.read.schema("dictionary binary").parquet(f"{out}/dictionary").first()[0])
     rows = spark.read.schema("part int, seq int, n_docs long, n_ids long, blob binary").parquet(f"{out}/containers")
-    # A row per container: the sums before a part, then those before a container in its part.
+    # A row per container: the sums before a part (RANGES_MOST at most), then those before a container in its part.
     parts = rows.groupBy("part").agg(F.sum("n_ids").alias("ids"))
     before = parts.select("part", (F.sum("ids").over(Window.orderBy("part")) - F.col("ids")).alias("part_start"))
     heads = rows.select("part", "seq", (F.sum("n_ids").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_ids")).alias("seq_start"))

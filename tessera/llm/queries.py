@@ -44,8 +44,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = suffix_dedup.removed(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return suffix_dedup.removed(table(spark, sf_dir, "documents"), texts=False)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

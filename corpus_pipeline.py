@@ -1,4 +1,10 @@
-"""A corpus pipeline of five stages; each one's result is written as Parquet and reread as the next one's documents."""
+"""A corpus pipeline of five stages; each one's result is written as Parquet and reread as the next one's documents.
+
+All stages but the last return the columns of their documents, whatever those are named, and judge all of their input.  Null texts and
+texts without words are rejected by the quality rules.  Rows that share a doc_id, or have none, are rows of their own: one goes only where its
+text equals, or is linked to, that of a row that stays.  An empty table gives an empty result.  The tables are written into the shared folder
+that the session names (`spark.checkpoint.dir`) and stay there; whoever names the folder clears it.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +12,7 @@ import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm import bpe, exact_dedup, mixing, quality_rules, simhash
 from tessera.llm.common import shared_dir
@@ -13,8 +20,9 @@ from tessera.llm.common import shared_dir
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the policy rejects go."""
-    marked = quality_rules.apply_policy(quality_rules.ledger(docs), "v1")
-    return marked.where("kept").select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    marked = quality_rules.apply_policy(quality_rules.ledger(rows), "v1")
+    return marked.where("kept").select("row.*")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +36,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The words that the mix takes: a row per document and epoch."""
-    return mixing.mixed_documents(docs)
+    """The words that the mix takes, a row per block and epoch: a shard's rows stand together, in shuffled order."""
+    return mixing.mixed_documents(docs).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ def short_hash(text: Column) -> Column:
 
 def norm(text: Column) -> Column:
     """White space collapsed and stripped, lower case."""
-    return F.lower(F.btrim(F.regexp_replace(text, r"\s+", " "), F.lit(" ")))
+    return F.lower(F.btrim(F.regexp_replace(text, r"(?U)\s+", " "), F.lit(" ")))
 
 
 def repeat_key(text: Column) -> Column:
@@ -41,15 +41,16 @@ def repeat_key(text: Column) -> Column:
 
 
 def _folds() -> tuple[str, str]:
-    """Accented Latin letters and the letters they fold to, by canonical decomposition."""
-    pairs = [(c, unicodedata.normalize("NFD", c)[0]) for c in map(chr, range(0xC0, 0x250)) if len(unicodedata.normalize("NFD", c)) > 1]
+    """Composed letters below U+2000 (Latin, Greek, Cyrillic ...) and the letter each folds to, by canonical decomposition."""
+    apart = ((c, unicodedata.normalize("NFD", c)) for c in map(chr, range(0xC0, 0x2000)))
+    pairs = [(c, d[0]) for c, d in apart if len(d) > 1 and all(unicodedata.category(x) == "Mn" for x in d[1:])]
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
 def fold(text: Column) -> Column:
-    """Lower case without accents (Latin letters; ß and œ stay)."""
+    """Lower case without accents or combining marks (ß and œ stay)."""
     a, b = _folds()
-    return F.translate(F.lower(text), a, b)
+    return F.regexp_replace(F.translate(F.lower(text), a, b), r"\p{Mn}+", "")
 
 
 def tokens(text: Column) -> Column:
@@ -82,14 +83,15 @@ def question_language(text: Column) -> Column:
 
 
 def roman_number(text: Column) -> Column:
-    """Subtractive roman numerals by a fold over the letters, without validation."""
+    """Roman numerals, a letter before a larger one subtracted, without validation; Arabic digits are read as they are."""
     values = F.create_map(*[F.lit(x) for k, v in {"I": 1, "V": 5, "X": 10, "L": 50, "C": 100, "D": 500, "M": 1000}.items() for x in (k, v)])
     digits = F.transform(F.split(F.upper(text), ""), lambda c: F.element_at(values, c))
-    return F.aggregate(
-        F.reverse(digits), F.struct(F.lit(0).alias("sum"), F.lit(0).alias("last")),
-        lambda a, d: F.struct(F.when(d < a["last"], a["sum"] - d).otherwise(a["sum"] + d).alias("sum"), F.greatest(a["last"], d).alias("last")),
+    value = F.aggregate(
+        F.reverse(digits), F.struct(F.lit(0).alias("sum"), F.lit(0).alias("right")),
+        lambda a, d: F.struct(F.when(d < a["right"], a["sum"] - d).otherwise(a["sum"] + d).alias("sum"), d.alias("right")),
         lambda a: a["sum"],
     )
+    return F.when(F.regexp_like(text, F.lit("^[0-9]+$")), text.try_cast("int")).otherwise(value)
 
 
 def page_at(starts: Column, position: Column) -> Column:
@@ -186,6 +188,6 @@ def usable_heading(text: Column) -> Column:
     return (
         F.size(words).between(3, 10) & F.length(text).between(15, 80)
         & (F.size(F.filter(words, lambda w: F.length(F.regexp_replace(w, r"\P{L}", "")) >= 4)) >= 2)
-        & like(r"^\p{Lu}") & like(r"\p{Ll}") & ~like("[0-9]") & ~like(r"\b\w{1,5}\.\s") & ~like("[?;,]$")
-        & ~like(r"(?i)^(art|articolul|article|capitolul|chapter|anexa|annex)\b")
+        & like(r"^\p{Lu}") & like(r"\p{Ll}") & ~like("[0-9]") & ~like(r"(?U)\b\w{1,5}\.\s") & ~like("[?;,]$")
+        & ~like(r"(?iU)^(art|articolul|article|capitolul|chapter|anexa|annex)\b")
     )

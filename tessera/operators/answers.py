@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import question_language
+from ..sources.store import written
 
-CITATION = r"\[\s*([0-9]+(?:\s*[,;]\s*[0-9]+)*)\s*\]"
+# Fixed value: how a reply cites.
+CITATION = r"\[\s*(\d+(?:\s*[,;]\s*\d+)*)\s*\]"
 
 
 def citations(reply: Column) -> Column:
@@ -25,7 +27,7 @@ def valid(cited: Column, sources: Column) -> Column:
 
 def refusal(reply: Column, cited: Column) -> Column:
     """model, no_citations or null, from the reply and its valid citations."""
-    return F.when((F.btrim(reply) == "") | F.regexp_like(reply, F.lit(r"(?i)\bNOT_FOUND\b")), "model").when(F.size(cited) == 0, "no_citations")
+    return F.when(F.regexp_like(reply, F.lit(r"(?U)^\s*$")) | F.regexp_like(reply, F.lit(r"(?i)\bNOT_FOUND\b")), "model").when(F.size(cited) == 0, "no_citations")
 
 
 def source_block(n: Column, source: Column, heading: Column, page: Column, text: Column) -> Column:
@@ -53,8 +55,12 @@ NEGATION = r"\b(nu (exist[ăa]|se (poate|afl[ăa]|g[ăa]se[șş]te|men[țţ]ione
 SOURCE_WORDS = r"\b(surs|document|informa[țţ]i|furnizat|sources?\b|documents?\b|information\b|context\b)"
 
 
+# Fixed value: where a reply's first sentence ends.
+FIRST_SENTENCE = r"^.*?(?:[.!?](?=\s)|$)"
+
+
 def first_sentence(text: Column) -> Column:
-    return F.regexp_extract(F.btrim(text), r"(?s)^.*?([.!?](?=\s)|$)", 0)
+    return F.regexp_extract(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""), "(?s)" + FIRST_SENTENCE, 0)
 
 
 def prose_refusal(reply: Column) -> Column:
@@ -105,25 +111,20 @@ def answer(questions: DataFrame, hits: DataFrame, chat: Callable[[list[dict]], s
     """(qid, language, text, found, refusal, cited, invalid, raw, first_raw) of every question.
 
     Without sources the model isn't asked. Replies without citations are asked for once more; only those rows are.
-    Replies are written before they are read twice where the session names a shared folder.
+    Replies are written into the shared folder before they are read twice.
     """
     prompts = build_messages(questions, hits)
     asked = prompts.where("n_sources > 0").withColumn("turns", F.array("system", "user"))
-    first = kept(_ask(asked, chat).withColumnRenamed("raw", "first"))
+    first = written(_ask(asked, chat).withColumnRenamed("raw", "first"), "replies")
     read = asked.join(first, "qid").withColumn("cited", valid(citations(F.col("first")), F.col("n_sources")))
     again = read.where(status(F.col("first"), F.col("cited")) == "no_citations").select("qid", F.array("system", "user", "first", F.lit(CITE_REQUEST)).alias("turns"))
-    second = kept(_ask(again, chat)).withColumnRenamed("raw", "second")
+    second = written(_ask(again, chat), "replies").withColumnRenamed("raw", "second")
     out = prompts.join(first, "qid", "left").join(second, "qid", "left").withColumn("raw", F.coalesce("second", "first"))
     every = citations(F.coalesce("raw", F.lit("")))
     out = out.withColumn("every", every).withColumn("cited", valid(F.col("every"), F.col("n_sources")))
     out = out.withColumn("refusal", F.when(F.col("n_sources") == 0, "no_sources").otherwise(status(F.col("raw"), F.col("cited"))))
     found = F.col("refusal").isNull()
-    return out.select("qid", "language", F.when(found, F.btrim("raw")).otherwise(not_found(F.col("language"))).alias("text"), found.alias("found"), "refusal",
+    return out.select("qid", "language", F.when(found, F.regexp_replace("raw", r"(?U)^\s+|\s+$", "")).otherwise(not_found(F.col("language"))).alias("text"), found.alias("found"), "refusal",
                       F.when(found, F.col("cited")).otherwise(F.array().cast("array<bigint>")).alias("cited"), F.array_except("every", "cited").alias("invalid"),
                       "raw", F.when(F.col("second").isNotNull(), F.col("first")).alias("first_raw"))
 
-
-def kept(frame: DataFrame) -> DataFrame:
-    """The frame checkpointed, so that a model isn't asked twice; as it is where no checkpoint folder is set."""
-    spark = frame.sparkSession
-    return frame.checkpoint() if spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) else frame

@@ -1,8 +1,8 @@
-"""BM25 over a postings table."""
+"""BM25 over an index of one row per chunk, tokenised once."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
@@ -10,37 +10,47 @@ from ..functions.text import tokens
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
-def postings(chunks: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, term, tf): counted with a map-side combine; a document's terms never meet in one row."""
-    return chunks.select(key, F.explode(tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+def counted(words: Column) -> Column:
+    """The distinct words of an array with their numbers, in order: the runs of the sorted array."""
+    order = F.transform(F.array(F.array_sort(words)), lambda s: F.transform(
+        F.array(F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))),
+        lambda starts: F.transform(starts, lambda i, k: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(starts, k + 1), F.size(s)) - i).cast("long").alias("tf"))),
+    )[0])[0]
+    return F.when(F.size(words) > 0, order).otherwise(F.array().cast("array<struct<term:string,tf:bigint>>"))
 
 
-def lengths(chunks: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    return chunks.select(key, F.size(tokens(F.col(text))).cast("long").alias("dl"))
+def index(chunks: DataFrame, key: str = "doc_id", text: str = "text", words=tokens) -> DataFrame:
+    """(key, dl, terms): a chunk's number of words and its distinct words with their counts.  No shuffle."""
+    split = chunks.select(key, words(F.col(text)).alias("_words"))
+    return split.select(key, F.size("_words").cast("long").alias("dl"), counted(F.col("_words")).alias("terms"))
 
 
-def term_stats(post: DataFrame, n_chunks: int | F.Column) -> DataFrame:
+def postings(indexed: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, dl, term, tf)."""
+    return indexed.select(key, "dl", F.inline("terms"))
+
+
+def term_stats(indexed: DataFrame) -> DataFrame:
     """(term, df, idf); a negative idf becomes EPSILON times the mean idf of the vocabulary."""
-    n = n_chunks if isinstance(n_chunks, F.Column) else F.lit(n_chunks)
-    raw = post.groupBy("term").agg(F.count("*").alias("df")).withColumn("raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    total = indexed.agg(F.count("*").alias("n"))
+    df = indexed.select(F.explode("terms.term").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    raw = df.crossJoin(F.broadcast(total)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # one row
     mean = raw.agg(F.avg("raw").alias("mean"))
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, F.col("mean") * EPSILON).otherwise(F.col("raw")).alias("idf"))  # one row
 
 
-def top_k(chunks: DataFrame, questions: DataFrame, k: int, key: str = "doc_id", allowed: DataFrame | None = None, partition: list[str] | None = None) -> DataFrame:
+def top_k(indexed: DataFrame, questions: DataFrame, k: int, key: str = "doc_id", allowed: DataFrame | None = None, partition: list[str] | None = None, words=tokens, stats: DataFrame | None = None) -> DataFrame:
     """(qid, key, score, rank): statistics over all chunks; `allowed` filters candidates only.
 
-    Query terms are joined to postings by term; scores are summed per question and chunk before anything is ranked.
+    Postings meet the questions' words first, a small side that Spark broadcasts by its size, so only what scores is shuffled; scores are
+    summed per question and chunk before anything is ranked.
     """
-    post = postings(chunks, key)
-    size = lengths(chunks, key)
-    totals = size.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    n = totals.first()
-    stats = term_stats(post, n["n"])
-    terms = questions.select("qid", F.explode(tokens(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
-    found = post.join(terms, "term").join(stats, "term").join(size, key)
+    terms = questions.select("qid", F.explode(words(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
+    asked = terms.join(term_stats(indexed) if stats is None else stats, "term")
+    mean = indexed.agg(F.avg("dl").alias("avgdl"))
+    found = postings(indexed, key).join(asked, "term").crossJoin(F.broadcast(mean))  # one row
     tf = F.col("tf").cast("double")
-    part = F.col("times") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.lit(float(n["avgdl"] or 1.0))))
+    part = F.col("times") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.coalesce("avgdl", F.lit(1.0))))
     scored = found.groupBy("qid", key).agg(F.round(F.sum(part), 6).alias("score"))
     if allowed is not None:
         scored = scored.join(allowed, key)

@@ -53,7 +53,21 @@ MOST_BYTES = 50 * 1024 * 1024
 
 
 def folder_name_ok(name: F.Column) -> F.Column:
-    return F.regexp_like(name, F.lit(FOLDER)) & ~F.regexp_like(name, F.lit(RESERVED))
+    """Whether a name, white space around it aside, may name a folder."""
+    bare = F.regexp_replace(name, r"(?U)^\s+|\s+$", "")
+    return F.regexp_like(bare, F.lit(FOLDER)) & ~F.regexp_like(bare, F.lit(RESERVED)) & ~F.endswith(bare, F.lit("."))
+
+
+def file_name(name: F.Column) -> F.Column:
+    """The last component of an uploaded file's name."""
+    return F.regexp_extract(F.regexp_replace(name, r"(?U)^\s+|\s+$", ""), r"[^\\/]*$", 0)
+
+
+def file_name_ok(name: F.Column, kinds: list[str]) -> F.Column:
+    """Whether the last component may name a file of a known kind (extensions without the dot)."""
+    bare = file_name(name)
+    kind = F.lower(F.regexp_extract(bare, r"^.+\.([^.]+)$", 1))
+    return (bare != "") & ~F.startswith(bare, F.lit(".")) & (F.length(bare) <= 160) & ~F.regexp_like(bare, F.lit(RESERVED)) & kind.isin(*kinds)
 
 
 def repeated_lines(lines: DataFrame, share: float = 0.6) -> DataFrame:

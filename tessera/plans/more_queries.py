@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import answers, chunkers, chunking, library, metrics
+from ..operators import answers, chunkers, chunking, gold, library, metrics
 from ..sources.html import load_html
 from . import retrieval
 from .queries import BM, CH, DENSE, _lists, _read, _run_and_qrels, query
@@ -51,8 +51,8 @@ def pattern_headings(spark, d):
     return x.select("doc_id", T.mark_headings(F.col("text")).alias("marked"))
 
 
-@query(r"""WITH l AS (SELECT source, doc_id AS page, regexp_replace(lower(trim(regexp_replace(substring(text, 1, 3), '\s+', ' ', 'g'))), '[0-9]+', '#', 'g') AS key FROM documents),
-p AS (SELECT source, count(DISTINCT page) AS pages FROM l GROUP BY source) SELECT source, key, count(DISTINCT page) AS pages FROM l GROUP BY source, key
+@query(r"""WITH l AS (SELECT source, page, regexp_replace(lower(trim(regexp_replace(line, '\s+', ' ', 'g'))), '[0-9]+', '#', 'g') AS key FROM (SELECT source, doc_id AS page, unnest(string_split(text, chr(10))) AS line FROM documents)),
+p AS (SELECT source, count(DISTINCT page) AS pages FROM l GROUP BY source) SELECT source, key, count(DISTINCT page) AS pages FROM l WHERE key <> '' GROUP BY source, key
 HAVING count(DISTINCT page) >= (SELECT greatest(2, round_even(0.06 * p.pages, 0)) FROM p WHERE p.source = l.source AND p.pages >= 3)""")
 def repeated_lines(spark, d):
     """Lines of whole texts that recur over a source's documents (its pages); the share is lower here, as these pages repeat little."""
@@ -186,11 +186,16 @@ def single_modes(spark, d):
     return x.where("rank <= 5").select("qid", mode.alias("mode"), "id", F.col("rank").cast("long").alias("pos"))
 
 
-@query(r"""WITH p AS (SELECT doc_id, i AS n FROM (SELECT doc_id, unnest(range(1, 4)) AS i FROM documents WHERE doc_id % 3 = 0))
-SELECT doc_id, n, 'H' || n::VARCHAR AS heading FROM p""")
+@query("""WITH l AS (SELECT doc_id, i, length(line) AS n, substring(line, 1, 30) AS heading FROM (SELECT doc_id, unnest(range(len(ls))) AS i, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))),
+h AS (SELECT doc_id, heading, sum(n + 1) OVER (PARTITION BY doc_id ORDER BY i) - n - 1 AS start FROM l),
+p AS (SELECT doc_id, n, (length(text) * n) // 4 AS pos FROM documents, (VALUES (1), (2), (3)) v(n) WHERE text <> '')
+SELECT p.doc_id, n::BIGINT AS n, heading FROM p ASOF JOIN h ON p.doc_id = h.doc_id AND p.pos >= h.start""")
 def heading_asof(spark, d):
-    """The heading at or before each of three positions, from a table of heading starts."""
-    heads = _read(spark, d, "documents").select("doc_id", F.expr("explode(sequence(1, 3))").alias("h"))
-    heads = heads.select("doc_id", (F.col("h") * 100).alias("start"), F.concat(F.lit("H"), F.col("h").cast("string")).alias("heading"))
-    at = heads.select("doc_id", (F.col("start") + 50).alias("pos")).join(heads, "doc_id").where("start <= pos")
-    return at.groupBy("doc_id", "pos").agg(F.max_by("heading", "start").alias("heading")).select("doc_id", ((F.col("pos") - 50) / 100).cast("long").alias("n"), "heading")
+    """The line at or before each of three positions of a text, by the starts of its lines: an as-of join."""
+    docs = _read(spark, d, "documents").where("text <> ''").select("doc_id", "text")
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    before = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    heads = lines.select("doc_id", F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0)).alias("start"), F.substring("line", 1, 30).alias("heading"))
+    at = docs.select("doc_id", F.length("text").alias("len"), F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("n")).withColumn("pos", F.floor(F.col("len") * F.col("n") / 4))
+    found = gold.as_of(at, heads, "doc_id", "pos", "start", "heading")
+    return found.select("doc_id", F.col("n").cast("long").alias("n"), "heading")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import answers, bm25, chunking, fusion, library, metrics, vectors
+from ..operators import answers, bm25, chunking, fusion, gold, library, metrics, vectors
 from . import retrieval
 
 QUERIES: dict = {}
@@ -66,18 +66,27 @@ def lang_detect_questions(spark, d):
     return _read(spark, d, "benchmark").select("item_id", T.question_language(F.col("text")).alias("language"))
 
 
-@query("SELECT (x.n)::BIGINT AS n, CASE x.n WHEN 4 THEN 'IV' WHEN 9 THEN 'IX' WHEN 14 THEN 'XIV' WHEN 40 THEN 'XL' WHEN 1994 THEN 'MCMXCIV' END AS roman FROM (VALUES (4), (9), (14), (40), (1994)) x(n)")
+ROMAN = "list_reduce(list_prepend('', list_transform([1000, 100, 10, 1], lambda p: CASE WHEN p = 1000 THEN repeat('M', (n // 1000)::INT) ELSE replace(replace(replace([ '', 'x', 'xx', 'xxx', 'xy', 'y', 'yx', 'yxx', 'yxxx', 'xz' ][((n // p) % 10 + 1)::INT], 'x', CASE p WHEN 100 THEN 'C' WHEN 10 THEN 'X' ELSE 'I' END), 'y', CASE p WHEN 100 THEN 'D' WHEN 10 THEN 'L' ELSE 'V' END), 'z', CASE p WHEN 100 THEN 'M' WHEN 10 THEN 'C' ELSE 'X' END) END)), lambda a, b: a || b)"
+
+
+@query(f"SELECT doc_id, n, {ROMAN} AS roman FROM (SELECT doc_id, doc_id % 3999 + 1 AS n FROM documents)")
 def roman_numbers(spark, d):
-    x = spark.createDataFrame([("IV",), ("IX",), ("XIV",), ("XL",), ("MCMXCIV",)], "roman string")
-    return x.select(T.roman_number(F.col("roman")).cast("long").alias("n"), "roman")
+    """Every document's number written as a Roman numeral by digits, and read back."""
+    x = _read(spark, d, "documents").select("doc_id", (F.col("doc_id") % 3999 + 1).alias("v"))
+    parts = []
+    for p, (one, five, ten) in ((1000, "M  "), (100, "CDM"), (10, "XLC"), (1, "IVX")):
+        forms = ["", one, one * 2, one * 3, one + five, five, five + one, five + one * 2, five + one * 3, one + ten]
+        parts.append(F.element_at(F.array(*[F.lit(f) for f in forms]), (F.floor(F.col("v") / p) % 10 + 1).cast("int")))
+    return x.select("doc_id", F.concat(*parts).alias("roman")).select("doc_id", T.roman_number(F.col("roman")).cast("long").alias("n"), "roman")
 
 
 BM = f"""
-toks AS (SELECT doc_id, {TOKENS} AS t FROM documents),
-post AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM toks) GROUP BY ALL),
+toks AS MATERIALIZED (SELECT doc_id, {TOKENS} AS t FROM documents),
+post AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM toks) GROUP BY ALL),
 size AS (SELECT doc_id, len(t) AS dl FROM toks),
-raw AS (SELECT term, count(*) AS df, ln((SELECT count(*) FROM toks) - count(*) + 0.5) - ln(count(*) + 0.5) AS r FROM post GROUP BY term),
-stats AS (SELECT term, df, CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM raw) ELSE r END AS idf FROM raw),
+raw AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS r FROM (SELECT term, count(*) AS df FROM post GROUP BY term), (SELECT count(*) AS n FROM toks)),
+mean AS MATERIALIZED (SELECT avg(r) AS mean FROM raw),
+stats AS (SELECT term, df, CASE WHEN r < 0 THEN 0.25 * mean ELSE r END AS idf FROM raw, mean),
 qt AS (SELECT qid, term, count(*) AS times FROM (SELECT item_id AS qid, unnest({TOKENS}) AS term FROM benchmark) GROUP BY ALL),
 sc AS (SELECT qid, doc_id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (SELECT avg(dl) FROM size)))), 6) AS score
   FROM post JOIN qt USING (term) JOIN stats USING (term) JOIN size USING (doc_id) GROUP BY ALL)"""
@@ -96,20 +105,19 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC
 
 @query(f"WITH {BM} SELECT term, df, round(idf, 6) AS idf FROM stats")
 def bm25_term_stats(spark, d):
-    x = _read(spark, d, "documents").select("doc_id", "text")
-    return bm25.term_stats(bm25.postings(x), x.count()).select("term", "df", F.round("idf", 6).alias("idf"))
+    return bm25.term_stats(retrieval.indexed(spark, d)).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {BM} SELECT * FROM (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM sc) WHERE rank <= 10 AND score > 0")
 def bm25_topk(spark, d):
-    docs, _, q, _ = retrieval.inputs(spark, d)
-    return bm25.top_k(docs, q, 10).withColumn("rank", F.col("rank").cast("long"))
+    _, _, q, _ = retrieval.inputs(spark, d)
+    return bm25.top_k(retrieval.indexed(spark, d), q, 10).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(f"WITH {BM} SELECT * FROM (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM sc JOIN documents USING (doc_id) WHERE source = 'src3') WHERE rank <= 10 AND score > 0")
 def bm25_filtered_global_stats(spark, d):
     docs, _, q, _ = retrieval.inputs(spark, d)
-    return bm25.top_k(docs, q, 10, allowed=docs.where("source = 'src3'").select("doc_id")).withColumn("rank", F.col("rank").cast("long"))
+    return bm25.top_k(retrieval.indexed(spark, d), q, 10, allowed=docs.where("source = 'src3'").select("doc_id")).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(f"WITH {DENSE} SELECT * FROM (SELECT qid, vec_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM dn) WHERE rank <= 10")
@@ -247,7 +255,7 @@ def ndcg_at_10(spark, d):
 
 
 @query(RELEVANT + """, r AS (SELECT qid, min(CASE WHEN rel = 1 THEN pos END) AS rank FROM top LEFT JOIN rel USING (qid, did) GROUP BY qid)
-SELECT label, count(*) AS n, count_if(rank <= 1)::BIGINT AS hit_1, count_if(rank <= 3)::BIGINT AS hit_3, count_if(rank <= 5)::BIGINT AS hit_5, count_if(rank <= 10)::BIGINT AS hit_10, round(avg(coalesce(1.0 / rank, 0)), 6) AS mrr
+SELECT label, count(*) AS n, count(*) FILTER (rank <= 1) AS hit_1, count(*) FILTER (rank <= 3) AS hit_3, count(*) FILTER (rank <= 5) AS hit_5, count(*) FILTER (rank <= 10) AS hit_10, round(avg(coalesce(1.0 / rank, 0)), 6) AS mrr
 FROM r JOIN embeddings ON vec_id = qid GROUP BY label""")
 def recall_mrr_by_type(spark, d):
     run, qrels = _run_and_qrels(spark, d)
@@ -290,12 +298,12 @@ def resume_todo(spark, d):
     return library.delete(_read(spark, d, "benchmark").select("item_id"), done, "item_id")
 
 
-@query("SELECT b.item_id, d.doc_id, instr(d.text, b.text) - 1 AS start_char, instr(d.text, b.text) - 1 + length(b.text) AS end_char FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
+@query(r"""WITH q AS (SELECT item_id, array_to_string(list_transform(regexp_extract_all(text, '\S+'), lambda w: regexp_escape(w)), '(?:\s+#{1,6})?\s+') AS pat FROM benchmark WHERE regexp_matches(text, '\S')),
+p AS (SELECT item_id, doc_id, string_split_regex(d.text, pat) AS parts, regexp_extract_all(d.text, pat) AS found FROM q JOIN documents d ON regexp_matches(d.text, pat)),
+n AS (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM p),
+s AS (SELECT item_id, doc_id, (coalesce(list_sum(list_transform(parts[:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(found[:i - 1], lambda x: length(x))), 0))::BIGINT AS start_char, length(found[i]) AS len FROM n)
+SELECT item_id, doc_id, start_char, start_char + len AS end_char FROM s""")
 def gold_quotes(spark, d):
-    """Where the quotes of a bounded question set stand verbatim: each document meets the set of quotes, in blocks."""
+    """Every place where a quote of the question set stands in a document, its white space as it may be there."""
     quotes = _read(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"))
-    packed = quotes.withColumn("b", F.pmod(F.xxhash64("item_id"), F.lit(16))).groupBy("b").agg(F.collect_list(F.struct("item_id", "quote")).alias("qs"))
-    hits = F.filter("qs", lambda q: F.contains(F.col("text"), q["quote"]))
-    x = _read(spark, d, "documents").select("doc_id", "text").crossJoin(packed).select("doc_id", "text", F.explode(hits).alias("q"))
-    at = F.instr(F.col("text"), F.col("q.quote")) - 1
-    return x.select("q.item_id", "doc_id", at.cast("long").alias("start_char"), (at + F.length("q.quote")).cast("long").alias("end_char"))
+    return gold.find_spans(_read(spark, d, "documents").select("doc_id", "text"), quotes)

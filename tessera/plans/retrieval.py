@@ -6,6 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import bm25, fusion, vectors
+from ..sources.store import written
+
+_indexes: dict[tuple[str, str], DataFrame] = {}
+
+
+def indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The BM25 index of a folder's documents: tokenised and written once a session, read by every query after that."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _indexes:
+        docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+        _indexes[key] = written(bm25.index(docs), "bm25")
+    return _indexes[key]
 
 
 def inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -24,7 +36,7 @@ def rankings(spark: SparkSession, sf_dir: str, k: int = 10, per_language: bool =
     allowed = docs.select("doc_id", "lang") if source is None else docs.where(F.col("source") == source).select("doc_id", "lang")
     part = ["lang"] if per_language else None
     name = lambda n: F.concat(F.lit(f"{n}:"), F.col("lang")) if per_language else F.lit(n)
-    sparse = bm25.top_k(docs, questions, k, allowed=allowed, partition=part)
+    sparse = bm25.top_k(indexed(spark, sf_dir), questions, k, allowed=allowed, partition=part)
     near = vectors.top_k(vecs.join(allowed, F.col("vec_id") == F.col("doc_id")).select("vec_id", "embedding", "lang"), qvecs, k, part)
     return sparse.select("qid", name("sparse").alias("list_name"), F.col("doc_id").alias("id"), "rank").unionByName(
         near.select("qid", name("dense").alias("list_name"), F.col("vec_id").alias("id"), "rank"))

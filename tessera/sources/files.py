@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import csv
-import hashlib
 import io
 import re
 import zipfile
@@ -167,20 +166,17 @@ def load_directory(spark: SparkSession, root: str, parsers: dict | None = None)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            rows = []
             for source, raw in zip(batch["source"], batch["content"]):
                 name, parse = known[source.rsplit(".", 1)[-1].lower()]
                 try:
                     title, text = parse(raw)
-                    row = (source, title, name, text, None if text.strip() else "no text")
+                    rows.append((source, title, name, text, None if text.strip() else "no text"))
                 except Exception as e:  # noqa: BLE001 - one bad file doesn't stop the others
-                    row = (source, None, name, None, f"{type(e).__name__}: {e}")
-                yield pd.DataFrame([row], columns=[c.split()[0] for c in SCHEMA.split(", ")])
+                    rows.append((source, None, name, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
     loaded = named.mapInPandas(run, SCHEMA).withColumn("clean", clean_text(F.col("raw_text")))
     text = F.when(F.col("error").isNull(), F.when(F.col("format") == "text", mark_headings(F.col("clean"))).otherwise(F.col("clean")))
     return loaded.select("source", F.substring(F.sha2("source", 256), 1, 16).alias("doc_id"), text.alias("text"), "title", "format", "error").withColumns(
         {"content_hash": F.substring(F.sha2("text", 256), 1, 16), "num_chars": F.length("text")})
-
-
-def file_key(source: str) -> str:
-    return hashlib.sha256(source.encode()).hexdigest()[:16]

@@ -186,15 +186,3 @@ def test_repeated_lines_query_reads_whole_texts(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {(r.source, r.key): r.pages for r in more_queries.repeated_lines(spark, str(tmp_path)).collect()}
     assert got == {("s", "inner line # of all"): 6, ("s", "last line"): 6}
-
-
-WHOLE_LINES = r"""WITH l AS (SELECT source, page, regexp_replace(lower(trim(regexp_replace(line, '\s+', ' ', 'g'))), '[0-9]+', '#', 'g') AS key FROM (SELECT source, doc_id AS page, unnest(string_split(text, chr(10))) AS line FROM documents)),
-p AS (SELECT source, count(DISTINCT page) AS pages FROM l GROUP BY source) SELECT source, key, count(DISTINCT page) AS pages FROM l WHERE key <> '' GROUP BY source, key
-HAVING count(DISTINCT page) >= (SELECT greatest(2, round_even(0.06 * p.pages, 0)) FROM p WHERE p.source = l.source AND p.pages >= 3)"""
-WHOLE_HEADINGS = "SELECT doc_id, n, 'H' || n::VARCHAR AS heading FROM (SELECT doc_id, unnest(range(1, 4)) AS n FROM documents)"
-
-
-@pytest.mark.parametrize("name,sql", [("repeated_lines", WHOLE_LINES), ("heading_asof", WHOLE_HEADINGS)])
-def test_whole_tables(spark, name, sql):
-    sf = "/root/testdata/sf0.001"
-    assert differs(spark, duck(sf), getattr(more_queries, name), sql, sf) is None

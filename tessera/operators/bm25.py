@@ -12,7 +12,7 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 
 def counted(words: Column) -> Column:
     """The distinct words of an array with their numbers, in order: the runs of the sorted array."""
-    order = F.transform(F.array(F.array_sort(words)), lambda s: F.transform(
+    order = F.transform(F.array(F.sort_array(words)), lambda s: F.transform(
         F.array(F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))),
         lambda starts: F.transform(starts, lambda i, k: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(starts, k + 1), F.size(s)) - i).cast("long").alias("tf"))),
     )[0])[0]

@@ -16,6 +16,9 @@ def indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = spark.sparkContext.applicationId, sf_dir
     if key not in _indexes:
         docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+        most = spark.sparkContext.defaultParallelism
+        if docs.rdd.getNumPartitions() < most:  # a small table in few files: all cores tokenise
+            docs = docs.repartition(most)
         _indexes[key] = written(bm25.index(docs), "bm25")
     return _indexes[key]
 

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import fusion, gold, layout, models, review, shelf
+from ..operators import blocks, fusion, gold, layout, models, review, shelf
 from ..sources import store
 from . import retrieval
 from .queries import BM, DENSE, _in, _lists, _read, _run_and_qrels, query
@@ -221,3 +221,19 @@ def highlight_marks(spark, d):
     x = _read(spark, d, "documents").select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(7))).alias("k"))
     start = (F.col("doc_id") * F.col("k") * 37) % 200
     return review.marks(x.select("doc_id", start.alias("start"), (start + 20 + start % 30).alias("end")))
+
+
+MARKED = "CASE i % 9 WHEN 0 THEN '## ' || line WHEN 2 THEN '- ' || line WHEN 3 THEN '' WHEN 4 THEN '| a | ' || substring(line, 1, 9) || ' |' WHEN 5 THEN '|---|---|' ELSE line END"
+
+
+@query(rf"""WITH l0 AS (SELECT doc_id, i, {MARKED} AS line FROM (SELECT doc_id, unnest(range(len(ls))) AS i, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))),
+l AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(line) - 1 AS s, trim(line, ' ') AS t FROM l0),
+k AS (SELECT *, CASE WHEN t = '' THEN '' WHEN regexp_matches(t, '^#{{1,6}}\s') THEN 'h' WHEN t[1] = '|' THEN 'table' WHEN regexp_matches(t, '^([-*+]|[0-9]+[.)])\s') THEN 'li' ELSE 'p' END AS kind FROM l),
+g AS (SELECT *, sum(CASE WHEN kind IN ('h', 'li') OR kind IS DISTINCT FROM before THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM (SELECT *, lag(kind) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM k)),
+b AS (SELECT doc_id, g, kind, min(s) AS s, max(s + length(line)) AS e, string_agg(t, ' ' ORDER BY i) AS t FROM g WHERE kind <> '' GROUP BY ALL HAVING kind <> 'table' OR bool_or(NOT contains(t, '---')))
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY g) - 1 AS block, kind, s::BIGINT AS start, e::BIGINT AS "end", md5(CASE kind WHEN 'h' THEN regexp_replace(t, '^#+\s+', '') WHEN 'li' THEN regexp_replace(t, '^([-*+]|[0-9]+[.)])\s+', '') WHEN 'p' THEN t ELSE '' END) AS text_md5 FROM b""")
+def text_blocks(spark, d):
+    marked = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 9 == 0, F.concat(F.lit("## "), x)).when(i % 9 == 2, F.concat(F.lit("- "), x)).when(i % 9 == 3, "")
+                         .when(i % 9 == 4, F.concat(F.lit("| a | "), F.substring(x, 1, 9), F.lit(" |"))).when(i % 9 == 5, "|---|---|").otherwise(x))
+    x = blocks.parse_blocks(_read(spark, d, "documents").select("doc_id", F.array_join(marked, "\n").alias("text")))
+    return x.select("doc_id", F.col("block").cast("long").alias("block"), "kind", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.md5("text").alias("text_md5"))

@@ -31,6 +31,17 @@ def short_hash(text: Column) -> Column:
     return F.substring(F.sha2(text, 256), 1, 16)
 
 
+# Fixed value: the name space of point ids.
+POINT_SPACE = "6f9b1d9e2f4a4c7e9f1b3a7c5d8e0f21"
+
+
+def point_id(chunk_id: Column) -> Column:
+    """The UUID (version 5) of a chunk's id in the points' name space; null for null."""
+    h = F.sha1(F.concat(F.unhex(F.lit(POINT_SPACE)), F.encode(chunk_id, "UTF-8")))
+    variant = F.substring(F.lit("89ab"), F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4 + 1, F.lit(1))
+    return F.when(chunk_id.isNotNull(), F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12)))
+
+
 def norm(text: Column) -> Column:
     """White space collapsed and stripped, lower case."""
     return F.lower(F.btrim(F.regexp_replace(text, r"(?U)\s+", " "), F.lit(" ")))

@@ -8,7 +8,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import blocks, fusion, gold, layout, models, review, shelf
+from ..functions.stem import stemmed_tokens
+from ..operators import blocks, bm25, fusion, gold, layout, models, review, shelf
 from ..sources import store
 from . import retrieval
 from .queries import BM, DENSE, _in, _lists, _read, _run_and_qrels, query
@@ -237,3 +238,17 @@ def text_blocks(spark, d):
                          .when(i % 9 == 4, F.concat(F.lit("| a | "), F.substring(x, 1, 9), F.lit(" |"))).when(i % 9 == 5, "|---|---|").otherwise(x))
     x = blocks.parse_blocks(_read(spark, d, "documents").select("doc_id", F.array_join(marked, "\n").alias("text")))
     return x.select("doc_id", F.col("block").cast("long").alias("block"), "kind", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.md5("text").alias("text_md5"))
+
+
+@query()
+def bm25_topk_stemmed(spark, d):
+    """BM25 over stems: documents and questions folded and stemmed alike."""
+    _, _, q, _ = retrieval.inputs(spark, d)
+    return bm25.top_k(retrieval.indexed(spark, d, stemmed_tokens), q, 10, words=stemmed_tokens).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(f"""SELECT chunk_id, substring(h, 1, 8) || '-' || substring(h, 9, 4) || '-5' || substring(h, 14, 3) || '-' || CASE WHEN substring(h, 17, 1) IN ('0', '4', '8', 'c') THEN '8'
+WHEN substring(h, 17, 1) IN ('1', '5', '9', 'd') THEN '9' WHEN substring(h, 17, 1) IN ('2', '6', 'a', 'e') THEN 'a' ELSE 'b' END || substring(h, 18, 3) || '-' || substring(h, 21, 12) AS point_id
+FROM (SELECT *, sha1(unhex('{T.POINT_SPACE}') || encode(chunk_id)) AS h FROM (SELECT source || '#' || doc_id AS chunk_id FROM documents))""")
+def point_ids(spark, d):
+    return _read(spark, d, "documents").select(F.concat("source", F.lit("#"), F.col("doc_id").cast("string")).alias("chunk_id")).withColumn("point_id", T.point_id(F.col("chunk_id")))

@@ -5,21 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import tokens
 from ..operators import bm25, fusion, vectors
 from ..sources.store import written
 
-_indexes: dict[tuple[str, str], DataFrame] = {}
+_indexes: dict[tuple, DataFrame] = {}
 
 
-def indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def indexed(spark: SparkSession, sf_dir: str, words=tokens) -> DataFrame:
     """The BM25 index of a folder's documents: tokenised and written once a session, read by every query after that."""
-    key = spark.sparkContext.applicationId, sf_dir
+    key = spark.sparkContext.applicationId, sf_dir, words
     if key not in _indexes:
         docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
         most = spark.sparkContext.defaultParallelism
         if docs.rdd.getNumPartitions() < most:  # a small table in few files: all cores tokenise
             docs = docs.repartition(most)
-        _indexes[key] = written(bm25.index(docs), "bm25")
+        _indexes[key] = written(bm25.index(docs, words=words), "bm25")
     return _indexes[key]
 
 

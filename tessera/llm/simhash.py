@@ -34,6 +34,7 @@ from .components import components
 SHINGLE, RADIUS, SEED = 3, 3, 42
 GROUPS, BITS = 4, 16
 BLOCK = 512
+EMITTED = 1 << 15  # fingerprints a task that emits variants: about 90 MB of them
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -186,8 +187,9 @@ def links(fps: DataFrame) -> DataFrame:
         if wait:
             yield out([*_links(*(np.concatenate(x) for x in zip(*wait)), forest)])
 
+    tasks = fps.count() // EMITTED + 1  # 196 rows for one: a split as large as a scan's would be far too much for one task
     return (
-        fps.select("fp").mapInArrow(emit, "variant long, fp long")
+        fps.select("fp").repartition(tasks, "fp").mapInArrow(emit, "variant long, fp long")
         .repartition("variant").sortWithinPartitions("variant")
         .mapInArrow(meet, "a long, b long")
     )

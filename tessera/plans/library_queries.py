@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.stem import stemmed_tokens
-from ..operators import blocks, bm25, fusion, gold, layout, models, review, shelf
+from ..operators import blocks, fusion, gold, layout, models, review, shelf
 from ..sources import store
 from . import retrieval
 from .queries import BM, DENSE, _in, _lists, _read, _run_and_qrels, query
@@ -243,8 +243,7 @@ def text_blocks(spark, d):
 @query()
 def bm25_topk_stemmed(spark, d):
     """BM25 over stems: documents and questions folded and stemmed alike."""
-    _, _, q, _ = retrieval.inputs(spark, d)
-    return bm25.top_k(retrieval.indexed(spark, d, stemmed_tokens), q, 10, words=stemmed_tokens).withColumn("rank", F.col("rank").cast("long"))
+    return retrieval.best(spark, d, 10, stemmed_tokens).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(f"""SELECT chunk_id, substring(h, 1, 8) || '-' || substring(h, 9, 4) || '-5' || substring(h, 14, 3) || '-' || CASE WHEN substring(h, 17, 1) IN ('0', '4', '8', 'c') THEN '8'

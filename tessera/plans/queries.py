@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import answers, bm25, chunking, fusion, gold, library, metrics, vectors
+from ..operators import answers, chunking, fusion, gold, library, metrics, vectors
 from . import retrieval
 
 QUERIES: dict = {}
@@ -105,19 +105,17 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC
 
 @query(f"WITH {BM} SELECT term, df, round(idf, 6) AS idf FROM stats")
 def bm25_term_stats(spark, d):
-    return bm25.term_stats(retrieval.indexed(spark, d)).select("term", "df", F.round("idf", 6).alias("idf"))
+    return retrieval.stats(spark, d).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {BM} SELECT * FROM (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM sc) WHERE rank <= 10 AND score > 0")
 def bm25_topk(spark, d):
-    _, _, q, _ = retrieval.inputs(spark, d)
-    return bm25.top_k(retrieval.indexed(spark, d), q, 10).withColumn("rank", F.col("rank").cast("long"))
+    return retrieval.best(spark, d, 10).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(f"WITH {BM} SELECT * FROM (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM sc JOIN documents USING (doc_id) WHERE source = 'src3') WHERE rank <= 10 AND score > 0")
 def bm25_filtered_global_stats(spark, d):
-    docs, _, q, _ = retrieval.inputs(spark, d)
-    return bm25.top_k(retrieval.indexed(spark, d), q, 10, allowed=docs.where("source = 'src3'").select("doc_id")).withColumn("rank", F.col("rank").cast("long"))
+    return retrieval.best(spark, d, 10, allowed=F.col("source") == "src3").withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(f"WITH {DENSE} SELECT * FROM (SELECT qid, vec_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM dn) WHERE rank <= 10")

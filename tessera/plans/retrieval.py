@@ -10,20 +10,35 @@ from ..operators import bm25, fusion, vectors
 from ..sources.store import written
 
 _indexes: dict[tuple, DataFrame] = {}
+_stats: dict[tuple, DataFrame] = {}
 
 
 def indexed(spark: SparkSession, sf_dir: str, words=tokens) -> DataFrame:
-    """The BM25 index of a folder's documents: tokenised and written once a session, read by every query after that."""
+    """The BM25 index of a folder's documents, with lang and source: tokenised and written once a session, read by every query after that."""
     key = spark.sparkContext.applicationId, sf_dir, words
     if key not in _indexes:
-        docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+        docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
         most = spark.sparkContext.defaultParallelism
         if docs.rdd.getNumPartitions() < most:  # a small table in few files: all cores tokenise
             docs = docs.repartition(most)
-        _indexes[key] = written(bm25.index(docs, words=words), "bm25")
+        _indexes[key] = written(bm25.index(docs, words=words, keep=("lang", "source")), "bm25")
     return _indexes[key]
 
 
+def stats(spark: SparkSession, sf_dir: str, words=tokens) -> DataFrame:
+    """The index's statistics of terms, written once a session as well."""
+    key = spark.sparkContext.applicationId, sf_dir, words
+    if key not in _stats:
+        _stats[key] = written(bm25.term_stats(indexed(spark, sf_dir, words)), "stats")
+    return _stats[key]
+
+
+def best(spark: SparkSession, sf_dir: str, k: int, words=tokens, **more) -> DataFrame:
+    """BM25's k best documents of each question, by the stored index and statistics."""
+    questions = inputs(spark, sf_dir)[2]
+    return bm25.top_k(indexed(spark, sf_dir, words), questions, k, words=words, stats=stats(spark, sf_dir, words), **more)
+
+
 def inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(documents, vectors, questions, question vectors)."""
     read = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
@@ -36,11 +51,11 @@ def inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
 
 def rankings(spark: SparkSession, sf_dir: str, k: int = 10, per_language: bool = False, source: str | None = None) -> DataFrame:
     """(qid, list_name, id, rank): one BM25 and one cosine list per question, or per question and language."""
-    docs, vecs, questions, qvecs = inputs(spark, sf_dir)
+    docs, vecs, _, qvecs = inputs(spark, sf_dir)
     allowed = docs.select("doc_id", "lang") if source is None else docs.where(F.col("source") == source).select("doc_id", "lang")
     part = ["lang"] if per_language else None
     name = lambda n: F.concat(F.lit(f"{n}:"), F.col("lang")) if per_language else F.lit(n)
-    sparse = bm25.top_k(indexed(spark, sf_dir), questions, k, allowed=allowed, partition=part)
+    sparse = best(spark, sf_dir, k, allowed=None if source is None else F.col("source") == source, partition=part)
     near = vectors.top_k(vecs.join(allowed, F.col("vec_id") == F.col("doc_id")).select("vec_id", "embedding", "lang"), qvecs, k, part)
     return sparse.select("qid", name("sparse").alias("list_name"), F.col("doc_id").alias("id"), "rank").unionByName(
         near.select("qid", name("dense").alias("list_name"), F.col("vec_id").alias("id"), "rank"))

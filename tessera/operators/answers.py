@@ -111,9 +111,9 @@ def answer(questions: DataFrame, hits: DataFrame, chat: Callable[[list[dict]], s
     """(qid, language, text, found, refusal, cited, invalid, raw, first_raw) of every question.
 
     Without sources the model isn't asked. Replies without citations are asked for once more; only those rows are.
-    Replies are written into the shared folder before they are read twice.
+    Prompts and replies are written into the shared folder before they are read again, so retrieval runs once.
     """
-    prompts = build_messages(questions, hits)
+    prompts = written(build_messages(questions, hits), "prompts")
     asked = prompts.where("n_sources > 0").withColumn("turns", F.array("system", "user"))
     first = written(_ask(asked, chat).withColumnRenamed("raw", "first"), "replies")
     read = asked.join(first, "qid").withColumn("cited", valid(citations(F.col("first")), F.col("n_sources")))

@@ -133,7 +133,7 @@ def retrieve_reranked(spark, d):
 
     docs, _, questions, _ = retrieval.inputs(spark, d)
     fused = fusion.fuse(retrieval.rankings(spark, d, k=5, per_language=True), 20)
-    hits = fused.join(docs.select(F.col("doc_id").alias("id"), "text"), "id").join(questions.select("qid", F.col("text").alias("question")), "qid")
+    hits = retrieval.with_documents(fused, docs.select("doc_id", "text")).join(questions.select("qid", F.col("text").alias("question")), "qid")
     return models.rerank(hits.select("qid", "id", "pos", "question", "text"), make, 5, "shared words").select("qid", "id", "fused", "rerank", "pos")
 
 

@@ -64,7 +64,7 @@ def repeated_lines(spark, d):
 @query(f"WITH {BM}, {DENSE}, f AS ({{}}), s AS (SELECT qid, pos AS n, id, source, lang, text FROM f JOIN documents ON id = doc_id), b AS (SELECT qid, string_agg('[' || n::VARCHAR || '] ' || source || ' — ' || lang || chr(10) || text, chr(10) || chr(10) ORDER BY n) AS t, count(*) AS n FROM s GROUP BY qid) SELECT item_id AS qid, md5('Sources:' || chr(10) || chr(10) || coalesce(t, '') || chr(10) || chr(10) || 'Question: ' || text) AS user_md5, coalesce(n, 0) AS n_sources FROM benchmark LEFT JOIN b ON qid = item_id".replace("{}", "WITH " + _lists("")))
 def build_messages(spark, d):
     docs, _, questions, _ = retrieval.inputs(spark, d)
-    hits = retrieval.hybrid(spark, d).select("qid", F.col("pos").alias("n"), F.col("id").alias("doc_id")).join(docs, "doc_id")
+    hits = retrieval.with_documents(retrieval.hybrid(spark, d).select("qid", F.col("pos").alias("n"), "id"), docs)
     made = answers.build_messages(questions, hits.select("qid", "n", "source", F.col("lang").alias("heading"), F.lit(0).alias("page"), "text"))
     return made.select("qid", F.md5("user").alias("user_md5"), F.col("n_sources").cast("long").alias("n_sources"))
 
@@ -170,7 +170,7 @@ def answer_questions(spark, d):
         return "It is so [1]." if len(turns) > 2 else "It is so."
 
     docs, _, questions, _ = retrieval.inputs(spark, d)
-    hits = retrieval.hybrid(spark, d).select("qid", F.col("pos").alias("n"), F.col("id").alias("doc_id")).join(docs, "doc_id")
+    hits = retrieval.with_documents(retrieval.hybrid(spark, d).select("qid", F.col("pos").alias("n"), "id"), docs)
     return answers.answer(questions, hits.select("qid", "n", "source", F.lit("").alias("heading"), F.lit(0).alias("page"), "text"), chat)
 
 

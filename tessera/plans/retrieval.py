@@ -63,3 +63,8 @@ def rankings(spark: SparkSession, sf_dir: str, k: int = 10, per_language: bool =
 
 def hybrid(spark: SparkSession, sf_dir: str, limit: int = 5, **more) -> DataFrame:
     return fusion.fuse(rankings(spark, sf_dir, **more), limit)
+
+
+def with_documents(hits: DataFrame, docs: DataFrame) -> DataFrame:
+    """Hits (id ...) of the stated question set, a few each, and the columns of their documents: the hits are broadcast, the texts stay where they are read."""
+    return docs.withColumnRenamed("doc_id", "id").join(F.broadcast(hits), "id")

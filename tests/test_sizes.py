@@ -6,7 +6,8 @@ from math import log
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import bm25
+from tessera.operators import answers, bm25
+from tessera.plans import retrieval
 
 
 def shuffled(spark, frame) -> int:
@@ -73,3 +74,31 @@ def test_string_keys(spark):
     x = spark.createDataFrame([("b", "x y"), ("a", "x y"), ("c", "z"), ("d", "u"), ("e", "v"), ("f", "r")], "chunk_id string, text string")
     got = bm25.top_k(bm25.index(x, key="chunk_id"), spark.createDataFrame([("q", "x")], "qid string, text string"), 1, key="chunk_id").collect()
     assert [(r.qid, r.chunk_id, r["rank"]) for r in got] == [("q", "a", 1)]
+
+
+def test_answers_retrieve_once(spark):
+    """Hits are made once, however often prompts are read."""
+    made = spark.sparkContext.accumulator(0)
+
+    def hit(batches):
+        for b in batches:
+            made.add(len(b))
+            yield b
+
+    hits = spark.createDataFrame([(1, 1, "s", "", 0, "text"), (2, 1, "s", "", 0, "text")], "qid long, n long, source string, heading string, page int, text string")
+    questions = spark.createDataFrame([(1, "Is it?"), (2, "Was it?"), (3, "Who?")], "qid long, text string")
+    got = answers.answer(questions, hits.mapInPandas(hit, hits.schema), lambda turns: "So [1]." if len(turns) > 2 else "So.").collect()
+    assert {(r.qid, r.found, r.raw, r.first_raw) for r in got} == {(1, True, "So [1].", "So."), (2, True, "So [1].", "So."), (3, False, None, None)}
+    assert made.value == 2
+
+
+def test_texts_of_hits_are_not_shuffled(spark):
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), F.lit(50)).alias("text")).repartition(4).localCheckpoint()
+    hits = spark.createDataFrame([(1, 5, 1), (1, 7, 2), (2, 5, 1)], "qid long, id long, pos long").repartition(4).localCheckpoint()
+    with_conf = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = retrieval.with_documents(hits, docs)
+        assert shuffled(spark, found) == 0 and sorted((r.qid, r.id, r.pos) for r in found.collect()) == [(1, 5, 1), (1, 7, 2), (2, 5, 1)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", with_conf)

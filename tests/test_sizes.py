@@ -1,12 +1,16 @@
 """What grows with the input: rows shuffled, memory, results over many equal rows."""
 
+import hashlib
+import re
 from collections import Counter
 from math import log
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import answers, bm25
+from tessera.operators import answers, bm25, chunkers
 from tessera.plans import retrieval
 
 
@@ -102,3 +106,42 @@ def test_texts_of_hits_are_not_shuffled(spark):
         assert shuffled(spark, found) == 0 and sorted((r.qid, r.id, r.pos) for r in found.collect()) == [(1, 5, 1), (1, 7, 2), (2, 5, 1)]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", with_conf)
+
+
+def test_chunkers_read_a_text_once(spark):
+    """The whole text goes to the tokenizer once, and the chunks of many documents make one batch."""
+    calls, frames = [], []
+
+    class Docs:
+        def select(self, *_):
+            return self
+
+        def mapInPandas(self, run, _):  # noqa: N802
+            frames.extend(run(iter([pd.DataFrame({"doc_id": range(300), "text": ["# A b\nOne two. Three four.\n## C\nfive"] * 299 + [None]})])))
+
+    for strategy in ("structure", "fixed", "semantic"):
+        calls.clear(), frames.clear()
+        chunkers.chunk(Docs(), strategy, tokenizer=lambda t: calls.append(t) or chunkers.words(t), embed=chunkers.hashed_bag)
+        assert len(calls) == 299 and len(frames) == 1 and set(frames[0]["doc_id"]) == set(range(299))
+
+
+@pytest.mark.parametrize("text", ["", " ", "a", " a b c\x1cd\x85e　f \U0001f600​g\n", "\ud800 x"])
+def test_words_are_runs_without_white_space(text):
+    assert chunkers.words(text) == [m.span() for m in re.finditer(r"\S+", text)]
+    assert chunkers.words("".join(map(chr, range(0xD000)))) == [m.span() for m in re.finditer(r"\S+", "".join(map(chr, range(0xD000))))]
+
+
+def test_sections_of_odd_lines():
+    text = "x\n  ~~~ \n# no\n~~~\n#no\n#  Yes ## \n\t```py\n## no\n~~~\n```\n####### no\n## Sub\r\n"
+    assert [p for _, _, p in chunkers.sections(text)] == ["", "Yes", "Yes > Sub"]
+
+
+def test_hashed_bag_remembers_a_bounded_number(monkeypatch):
+    monkeypatch.setattr(chunkers, "REMEMBERED", 2)
+    monkeypatch.setattr(chunkers, "_places", {})
+    got = chunkers.hashed_bag(["A b c a", "", "d e f"], 16)
+    want = np.zeros((3, 16))
+    for i, t in enumerate(["a b c a", "", "d e f"]):
+        for w in t.split():
+            want[i, int.from_bytes(hashlib.md5(w.encode()).digest()[:4], "little") % 16] += 1
+    assert np.allclose(got, want / np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-12)) and len(chunkers._places) <= 2

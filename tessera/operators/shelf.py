@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +16,7 @@ from .library import MOST_BYTES, file_name, file_name_ok, folder_name_ok
 
 FOLDER_LOG = "folder string, made long, there boolean"
 CHUNKS = "chunk_id string, source string, text string, page long"
+CHUNK_NAMES = [c.split()[0] for c in CHUNKS.split(", ")]
 KINDS = ["pdf", "docx", "pptx", "xlsx", "csv", "txt", "md", "html", "htm"]
 
 
@@ -29,22 +33,40 @@ class Library:
 
     def __init__(self, spark: SparkSession, path: str, model: str = "none", embed=None):
         self.spark, self.path, self.model, self.embed = spark, path, model, embed
+        self._loaded: tuple[str, dict[str, DataFrame]] | None = None
         if store.manifest(spark, path) is None:
             self._save(spark.createDataFrame([], CHUNKS))
 
     def tables(self) -> dict[str, DataFrame]:
-        return store.load(self.spark, self.path, self.model)
+        """The newest version's tables; a version never changes, so it is checked when it is first read."""
+        row = store.manifest(self.spark, self.path)
+        if self._loaded is None or row is None or self._loaded[0] != row.version:
+            self._loaded = row and row.version, store.load(self.spark, self.path, self.model)
+        return self._loaded[1]
 
     def chunks(self) -> DataFrame:
         return self.tables()["chunks"]
 
-    def _save(self, chunks: DataFrame) -> None:
-        chunks = store.written(chunks.select(*[c.split()[0] for c in CHUNKS.split(", ")]), "chunks")
-        if chunks.groupBy("chunk_id").count().where("count > 1").limit(1).count():
-            raise ValueError("a chunk id occurs twice")
-        vectors = self.embed(chunks) if self.embed else chunks.select("chunk_id", F.lit(None).cast("array<double>").alias("embedding"))
-        tables = {"chunks": chunks, "bm25": bm25.index(chunks, key="chunk_id"), "vectors": vectors}
-        store.save(tables, self.path, self.model, True, chunks.count())
+    def _save(self, added: DataFrame | None, stay: Callable[[DataFrame], DataFrame] | None = None) -> None:
+        """A version of the rows that stay of the newest one (by source) and the chunks added; only these are tokenised."""
+        old = self.tables() if stay else {}
+        terms = [stay(old["bm25"])] if stay and "source" in old["bm25"].columns else []
+        parts = [stay(old["chunks"])] if stay else []
+        if added is not None:
+            parts.append(store.written(added.select(*CHUNK_NAMES), "chunks"))
+        # A version made before its BM25 rows had a source is tokenised anew.
+        terms += [bm25.index(x, key="chunk_id", keep=("source",)) for x in parts[len(terms):]]
+
+        def indexed(done: dict[str, DataFrame]) -> DataFrame:
+            if not done["chunks"].groupBy("chunk_id").count().where("count > 1").isEmpty():
+                raise ValueError("a chunk id occurs twice")
+            return reduce(DataFrame.unionByName, terms)
+
+        def vectors(done: dict[str, DataFrame]) -> DataFrame:
+            return self.embed(done["chunks"]) if self.embed else done["chunks"].select("chunk_id", F.lit(None).cast("array<double>").alias("embedding"))
+
+        chunks = reduce(DataFrame.unionByName, [x.select(*CHUNK_NAMES) for x in parts])
+        store.save({"chunks": chunks, "bm25": indexed, "vectors": vectors}, self.path, self.model, True)
 
     def _folder_log(self) -> DataFrame:
         try:
@@ -81,7 +103,7 @@ class Library:
         if found.documents and not with_documents:
             raise ValueError(f"{name} holds {found.documents} documents")
         if found.documents:
-            self._save(self.chunks().where(folder_of(F.col("source")) != name))
+            self._save(None, lambda x: x.where(folder_of(F.col("source")) != name))
         if not self._names().where(F.col("folder") == name).isEmpty():
             self._log(name, False)
         return found.documents
@@ -106,7 +128,7 @@ class Library:
         there = old.select("source").distinct().join(names, "source", "left_semi").count()
         if there and not replace:
             raise FileExistsError(f"{there} documents are there already")
-        self._save(old.join(names, "source", "left_anti").unionByName(chunks))
+        self._save(chunks, lambda x: x.join(names, "source", "left_anti") if there else x)
         return {"chunks": chunks.count(), "replaced": there}
 
     def remove(self, sources: list[str]) -> int:
@@ -114,7 +136,7 @@ class Library:
         gone = self.spark.createDataFrame([(s,) for s in sources], "source string").distinct()
         there = self.sources().join(gone, "source", "left_semi").count() if sources else 0
         if there:
-            self._save(self.chunks().join(gone, "source", "left_anti"))
+            self._save(None, lambda x: x.join(F.broadcast(gone), "source", "left_anti"))  # a list of the driver
         return there
 
     def scope(self, folder: str | None) -> DataFrame:

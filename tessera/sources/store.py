@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -33,14 +34,19 @@ def written(frame: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
-def save(tables: dict[str, DataFrame], path: str, model: str, with_heading: bool, count: int) -> str:
-    """A new version of an index: its tables, then one row of the manifest, which is what makes it the version read."""
+def save(tables: dict[str, DataFrame | Callable[[dict[str, DataFrame]], DataFrame]], path: str, model: str, with_heading: bool, count: int | None = None) -> str:
+    """A new version of an index: its tables, then one row of the manifest, which is what makes it the version read.
+
+    A table may be a function of those before it, as they were written. Without a count the rows of chunks are counted.
+    """
     spark = next(iter(tables.values())).sparkSession
     last = manifest(spark, path)
-    version = uuid.uuid4().hex
-    for name, frame in tables.items():
+    version, done = uuid.uuid4().hex, {}
+    for name, made in tables.items():
+        frame = made(done) if callable(made) else made
         frame.write.parquet(f"{path}/{version}/{name}")
-    row = (version, 1 + (last.number if last else 0), model, with_heading, count)
+        done[name] = spark.read.schema(frame.schema).parquet(f"{path}/{version}/{name}")
+    row = (version, 1 + (last.number if last else 0), model, with_heading, done["chunks"].count() if count is None else count)
     spark.createDataFrame([row], MANIFEST).coalesce(1).write.mode("append").parquet(f"{path}/manifest")
     return version
 

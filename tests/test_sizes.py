@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import answers, bm25, chunkers
+from tessera.operators import answers, bm25, chunkers, shelf
 from tessera.plans import retrieval
 
 
@@ -145,3 +145,24 @@ def test_hashed_bag_remembers_a_bounded_number(monkeypatch):
         for w in t.split():
             want[i, int.from_bytes(hashlib.md5(w.encode()).digest()[:4], "little") % 16] += 1
     assert np.allclose(got, want / np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-12)) and len(chunkers._places) <= 2
+
+
+def test_library_tokenises_what_is_added_only(spark, tmp_path, monkeypatch):
+    """Chunks that stay keep their BM25 rows; what a search finds is what a library made at once finds."""
+    seen, whole = [], bm25.index
+    monkeypatch.setattr(bm25, "index", lambda x, **more: seen.append(x.count()) or whole(x, **more))
+    make = lambda rows: spark.createDataFrame(rows, shelf.CHUNKS)
+    lib = shelf.Library(spark, str(tmp_path / "a"))
+    lib.add(make([(f"c{i}", f"f{i % 2}/{i}.txt", f"word{i} shared" + " more" * (i % 3), 1) for i in range(20)]))
+    lib.add(make([("n3", "f1/3.txt", "word3 new shared", 2)]), replace=True)
+    lib.remove(["f0/4.txt"])
+    lib.delete_folder("f0", with_documents=True)
+    assert sum(seen) == 21
+    other = shelf.Library(spark, str(tmp_path / "b"))
+    other.add(lib.chunks())
+    asked = spark.createDataFrame([(1, "word3 shared more"), (2, "word5 new"), (3, "word4 word0")], "qid long, text string")
+    hits = [sorted(map(tuple, x.search(asked).collect())) for x in (lib, other)]
+    assert hits[0] == hits[1] and hits[0] and lib.chunks().count() == 10
+    with pytest.raises(ValueError, match="twice"):
+        lib.add(make([("c1", "f1/99.txt", "again", 1)]))
+    assert lib.chunks().count() == 10

@@ -64,12 +64,24 @@ def without_furniture(lines: DataFrame, share: float = 0.6) -> DataFrame:
 
 
 def real_tables(cells: DataFrame) -> DataFrame:
-    """(table_id, rows, cols) of grids that are tables: two rows and columns at least, not mostly empty, no long texts."""
+    """(table_id, rows, cols) of grids that are tables: two rows and columns at least, not mostly empty, no long texts.
+
+    Rows and columns (whole numbers) are marked as bits of blocks of 64 x 64 cells, so that an aggregation holds a row for each block.
+    """
     full = F.length(F.trim(F.coalesce("text", F.lit(""))))
-    x = cells.groupBy("table_id").agg(
-        F.count_distinct("row").alias("rows"), F.count_distinct("col").alias("cols"),
-        F.avg(F.when(full == 0, 1.0).otherwise(0.0)).alias("empty"), F.avg(F.when(full > 0, full)).alias("mean"))
-    return x.where((F.col("rows") >= 2) & (F.col("cols") >= 2) & (F.col("empty") <= EMPTY_SHARE) & (F.coalesce("mean", F.lit(0.0)) <= CELL_CHARS)).select("table_id", "rows", "cols")
+    row, col, one = F.col("row").cast("long"), F.col("col").cast("long"), F.lit(1).cast("long")
+    bit = lambda n: F.call_function("shiftleft", one, n.bitwiseAND(63).cast("int"))
+    blocks = cells.groupBy("table_id", F.shiftright(row, 6).alias("r"), F.shiftright(col, 6).alias("c")).agg(
+        F.bit_or(bit(row)).alias("r_bits"), F.bit_or(bit(col)).alias("c_bits"), F.count("*").alias("n"), F.count_if(full == 0).alias("empty"), F.sum(full).alias("chars"))
+    sides = blocks.select("table_id", F.inline(F.array(
+        F.struct(F.lit(True).alias("is_row"), F.col("r").alias("block"), F.col("r_bits").alias("bits"), "n", "empty", "chars"),
+        F.struct(F.lit(False).alias("is_row"), F.col("c").alias("block"), F.col("c_bits").alias("bits"), *[F.lit(0).cast("long").alias(x) for x in ("n", "empty", "chars")]))))
+    sums = [F.sum(x).alias(x) for x in ("n", "empty", "chars")]
+    merged = sides.groupBy("table_id", "is_row", "block").agg(F.bit_or("bits").alias("bits"), *sums)
+    count = lambda side: F.coalesce(F.sum(F.when(side, F.bit_count("bits"))), F.lit(0))
+    x = merged.groupBy("table_id").agg(count(F.col("is_row")).alias("rows"), count(~F.col("is_row")).alias("cols"), *sums)
+    mean = F.when(F.col("n") > F.col("empty"), F.col("chars") / (F.col("n") - F.col("empty"))).otherwise(0.0)
+    return x.where((F.col("rows") >= 2) & (F.col("cols") >= 2) & (F.col("empty") / F.col("n") <= EMPTY_SHARE) & (mean <= CELL_CHARS)).select("table_id", "rows", "cols")
 
 
 def cell_text(value: Column) -> Column:

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
-
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -116,9 +115,11 @@ SPACES, UNSEEN = "\u00a0\u202f\u2007\u2009", "\u00ad\u200b\u200c\u200d\ufeff"
 LIGATURES = {"ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "œ": "oe", "Œ": "Oe"}
 
 
-@F.pandas_udf(StringType())
-def _nfc(text: pd.Series) -> pd.Series:
-    return text.str.normalize("NFC")
+@F.arrow_udf(StringType())
+def _nfc(text: pa.Array) -> pa.Array:
+    """A hundred texts at a time are Python's; the others stay Arrow's."""
+    slices = (text.slice(lo, 100).to_pylist() for lo in range(0, len(text), 100))
+    return pa.concat_arrays([pa.array([x if x is None else unicodedata.normalize("NFC", x) for x in part], pa.string()) for part in slices] or [text])
 
 
 def clean_text(text: Column, from_pdf: bool = False, compose: bool = True) -> Column:

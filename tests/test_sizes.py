@@ -2,15 +2,18 @@
 
 import hashlib
 import re
+import tracemalloc
 from collections import Counter
 from math import log
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import answers, bm25, chunkers, shelf
+from tessera.functions import text
+from tessera.operators import answers, bm25, chunkers, layout, shelf
 from tessera.plans import retrieval
 
 
@@ -125,9 +128,9 @@ def test_chunkers_read_a_text_once(spark):
         assert len(calls) == 299 and len(frames) == 1 and set(frames[0]["doc_id"]) == set(range(299))
 
 
-@pytest.mark.parametrize("text", ["", " ", "a", " a b c\x1cd\x85e　f \U0001f600​g\n", "\ud800 x"])
-def test_words_are_runs_without_white_space(text):
-    assert chunkers.words(text) == [m.span() for m in re.finditer(r"\S+", text)]
+@pytest.mark.parametrize("line", ["", " ", "a", " a b c\x1cd\x85e　f \U0001f600​g\n", "\ud800 x"])
+def test_words_are_runs_without_white_space(line):
+    assert chunkers.words(line) == [m.span() for m in re.finditer(r"\S+", line)]
     assert chunkers.words("".join(map(chr, range(0xD000)))) == [m.span() for m in re.finditer(r"\S+", "".join(map(chr, range(0xD000))))]
 
 
@@ -166,3 +169,27 @@ def test_library_tokenises_what_is_added_only(spark, tmp_path, monkeypatch):
     with pytest.raises(ValueError, match="twice"):
         lib.add(make([("c1", "f1/99.txt", "again", 1)]))
     assert lib.chunks().count() == 10
+
+
+def test_tables_are_counted_by_blocks(spark):
+    """A row for each block of cells is shuffled, and the counts are those of distinct rows and columns."""
+    cells = [(1, r, c, "x" * (r % 3)) for r in range(130) for c in range(70)] + [(2, 0, c, "a") for c in range(5)] + [(3, r, 0, "a") for r in range(5)]
+    cells += [(4, r, c, "" if r + c else "a") for r in range(4) for c in range(4)] + [(5, r, c, "long " * 20) for r in range(2) for c in range(2)]
+    cells += [(6, 0, 0, None), (6, 500, 900, "a"), (6, 500, 900, "a"), (6, None, 3, "a"), (7, -1, -70, "a"), (7, -65, 2, "b")]
+    x = spark.createDataFrame(cells, "table_id long, row long, col int, text string").repartition(4, "table_id").localCheckpoint()
+    found = layout.real_tables(x)
+    assert {tuple(r) for r in found.collect()} == {(1, 130, 70), (6, 2, 3), (7, 2, 2)}
+    assert shuffled(spark, layout.real_tables(x)) < 150
+
+
+def test_composition_holds_few_texts(spark):
+    """Python holds a few texts of a batch at a time, and composes as unicodedata does."""
+    column = pa.array(["ș e\u0301 " * 500, None, ""] * 1500)
+    tracemalloc.start()
+    got = text._nfc.func(column)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3_000_000 and got.slice(4497).to_pylist() == ["ș é " * 500, None, ""] and len(got) == 4500
+    rows = spark.createDataFrame([("q\u0307\u0323",), ("각",), (None,)], "text string")
+    assert {r.c for r in rows.select(text._nfc("text").alias("c")).collect()} == {"q\u0323\u0307", "각", None}
+    assert len(text._nfc.func(column.slice(0, 0))) == 0

@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -63,12 +64,30 @@ def fold(text: Column) -> Column:
     return F.regexp_replace(F.translate(F.lower(text), a, b), r"\p{Mn}+", "")
 
 
+def accented_words(text: Column) -> Column:
+    """Words in lower case, accents kept, without the signs inside them (combining marks are signs); words of signs only go."""
+    return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\s]+", ""), r"\s+"), lambda w: w != "")
+
+
+_folded = str.maketrans(*_folds())
+
+
+def fold_words(words: pa.Array) -> pa.Array:
+    """Lower-case words without accents; Python sees only those that aren't ASCII."""
+    odd = pc.invert(pc.string_is_ascii(words))
+    return pc.replace_with_mask(words, odd, pa.array([w.translate(_folded) for w in words.filter(odd).to_pylist()], pa.string()))
+
+
 def tokens(text: Column) -> Column:
     """Folded words without the signs inside them; words of signs only go."""
     cleaned = F.regexp_replace(F.regexp_replace(fold(text), r"[^\p{L}\p{N}\s]", ""), r"\s+", " ")
     return F.filter(F.split(cleaned, " "), lambda w: w != "")
 
 
+# The same in two parts: a column's words, and what they become.  Where words are counted, the second part sees distinct ones only.
+tokens.parts = (accented_words, fold_words)
+
+
 def document_language(text: Column) -> Column:
     """The language whose function words are more; the first one on a tie."""
     words = F.split(F.regexp_replace(F.lower(text), r"\s+", " "), " ")

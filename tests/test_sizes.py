@@ -9,6 +9,7 @@ from math import log
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -193,3 +194,29 @@ def test_composition_holds_few_texts(spark):
     rows = spark.createDataFrame([("q\u0307\u0323",), ("각",), (None,)], "text string")
     assert {r.c for r in rows.select(text._nfc("text").alias("c")).collect()} == {"q\u0323\u0307", "각", None}
     assert len(text._nfc.func(column.slice(0, 0))) == 0
+
+
+ODD = "".join(map(chr, [*range(1, 0xD800), *range(0xE000, 0x11000), *range(0x1D400, 0x1D800)]))
+
+
+def words_of_index(spark, words):
+    """The plan of an index over odd letters and signs; its rows and the words counted one by one, by doc_id."""
+    texts = ["", " ", None, "Țară țara\u0300 e\u0301É é-É \u0344 \u0385x", *(f"a{ODD[i : i + 97]}b {' x'.join(ODD[i : i + 97])}" for i in range(0, len(ODD), 97))]
+    x = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    indexed = bm25.index(x, words=words)
+    got = {r.doc_id: (r.dl, [tuple(t) for t in r.terms]) for r in indexed.collect()}
+    want = {r.doc_id: (None, []) if r.w is None else (len(r.w), sorted(Counter(r.w).items(), key=lambda t: t[0].encode())) for r in x.select("doc_id", words(F.col("text")).alias("w")).collect()}
+    return indexed._jdf.queryExecution().toString(), got, want
+
+
+def test_index_folds_distinct_words(spark):
+    """Spark splits texts in one pass; each distinct word is folded by the step that counts, and counts as `tokens` has it."""
+    plan, got, want = words_of_index(spark, text.tokens)
+    assert "translate(" not in plan and got == want
+
+
+def test_words_are_prepared_once_for_chunks_counted_together():
+    calls = []
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(2000)), "_words": [["b", "a", "B"], None] * 1000})
+    rows = [r for b in bm25._counted(lambda w: calls.extend(w) or pc.utf8_lower(w))(iter([batch])) for r in b.to_pylist()]
+    assert len(calls) == 3 * 2 and rows[0] == {"doc_id": 0, "dl": 3, "terms": [{"term": "a", "tf": 1}, {"term": "b", "tf": 2}]} and rows[1]["dl"] is None and len(rows) == 2000

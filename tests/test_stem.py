@@ -12,6 +12,7 @@ import __spark_entry__ as entry
 from tessera.functions import stem
 from tessera.functions.text import tokens
 from test_queries import SF
+from test_sizes import words_of_index
 
 ENGLISH = """consign:consign consigned:consign consigning:consign consignment:consign consist:consist consisted:consist consistency:consist
 consistent:consist consistently:consist consolation:consol consolatory:consolatori console:consol consolidate:consolid consolingly:consol
@@ -85,3 +86,9 @@ def test_point_ids(spark):
     space = uuid.UUID("6f9b1d9e-2f4a-4c7e-9f1b-3a7c5d8e0f21")
     rows = entry.queries()["point_ids"](spark, SF).collect()
     assert rows and all(r.point_id == str(uuid.uuid5(space, r.chunk_id)) for r in rows)
+
+
+def test_index_stems_distinct_words(spark):
+    """Stems are made by the step that counts words, with no Python step before it, and count as `stemmed_tokens` has them."""
+    plan, got, want = words_of_index(spark, stem.stemmed_tokens)
+    assert "EvalPython" not in plan and got == want
